@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from datebook.llm.byte_bpe import op1_byte_bpe
+from datebook.llm.simhash import op3_simhash
 
 
 def queries():
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {"op1_byte_bpe": op1_byte_bpe, "op3_simhash": op3_simhash}
 
 
 def oracle_sql() -> dict[str, str]:

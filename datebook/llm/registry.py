@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datebook.llm.byte_bpe import op1_byte_bpe
+from datebook.llm.quality_rules import ORACLE as QUALITY_SQL
+from datebook.llm.quality_rules import op2_quality_rules
 from datebook.llm.simhash import op3_simhash
 
 
 def queries():
-    return {"op1_byte_bpe": op1_byte_bpe, "op3_simhash": op3_simhash}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": QUALITY_SQL}

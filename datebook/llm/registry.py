@@ -7,9 +7,11 @@ from datebook.llm.quality_rules import ORACLE as QUALITY_SQL
 from datebook.llm.quality_rules import op2_quality_rules
 from datebook.llm.simhash import op3_simhash
 
+from datebook.llm.toxicity import op9_toxicity
+
 
 def queries():
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

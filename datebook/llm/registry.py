@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datebook.llm.byte_bpe import op1_byte_bpe
+from datebook.llm.decontamination import ORACLE as DECONTAMINATION_SQL
+from datebook.llm.decontamination import op4_decontamination
 from datebook.llm.quality_rules import ORACLE as QUALITY_SQL
 from datebook.llm.quality_rules import op2_quality_rules
 from datebook.llm.simhash import op3_simhash
@@ -11,8 +13,8 @@ from datebook.llm.toxicity import op9_toxicity
 
 
 def queries():
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op9_toxicity": op9_toxicity}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY_SQL}
+    return {"op2_quality_rules": QUALITY_SQL, "op4_decontamination": DECONTAMINATION_SQL}

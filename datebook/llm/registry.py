@@ -5,15 +5,18 @@ from __future__ import annotations
 from datebook.llm.byte_bpe import op1_byte_bpe
 from datebook.llm.decontamination import ORACLE as DECONTAMINATION_SQL
 from datebook.llm.decontamination import op4_decontamination
+from datebook.llm.license_scan import op8_license_scan
 from datebook.llm.quality_rules import ORACLE as QUALITY_SQL
 from datebook.llm.quality_rules import op2_quality_rules
 from datebook.llm.simhash import op3_simhash
 
+from datebook.llm.token_counts import op7_token_counts
 from datebook.llm.toxicity import op9_toxicity
+from datebook.llm.url_filter import op6_url_filter
 
 
 def queries():
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op9_toxicity": op9_toxicity}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op4_decontamination": op4_decontamination, "op6_url_filter": op6_url_filter, "op7_token_counts": op7_token_counts, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

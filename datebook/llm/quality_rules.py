@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from datebook.llm.common import checkpointed, table
+from datebook.llm.common import checkpointed, table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -130,10 +130,13 @@ def judged(rows: DataFrame, fences: DataFrame, q: str = "_q", out: str = "_kept"
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (text, lang, source and any others) that pass, with the same columns."""
-    rows = measured(docs)
-    fences = checkpointed(thresholds(sketches(measured(docs.select("text", "lang", "source")))))
-    return judged(rows, fences).filter("_kept").select(docs.columns)
+    """Rows of ``docs`` (text, lang, source and any others) that pass, with the same columns.
+
+    The measured rows are written once: the sketches read three of their columns, and a filter over
+    written columns cannot be pushed into the measures, which would multiply their expressions.
+    """
+    rows = written(measured(docs), "measured")
+    return judged(rows, checkpointed(thresholds(sketches(rows)))).filter("_kept").select(docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 S = f"[{SPACES}]"
+#: A word boundary before a word character, which is cheaper to look for.
+W = r"(?<![A-Za-z0-9_])"
 
 # Limits of the model input, in characters.
 MAX_CHARS = 18000
@@ -33,25 +35,25 @@ TRUNCATION_NOTICE = "[Context shortened: source page exceeded the scan budget. S
 MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?"
 DAY = r"[0-9]{1,2}(?:st|nd|rd|th)?"
 DAY_WITH_YEAR = rf"{DAY}(?:,?{S}*[0-9]{{4}})?"
-DATE = "(?i)" + "|".join(
+DATE = "(?i)" + W + "(?:" + "|".join(
     [
-        rf"{B}(?:Mon|Tue|Tues|Wed|Thu|Thur|Thurs|Fri|Sat|Sun)(?:day)?{B}",
-        rf"{B}(?:today|tonight|tomorrow|yesterday|this{S}+(?:morning|afternoon|evening|week|weekend)|next{S}+(?:week|weekend)){B}",
-        rf"{B}{MONTH}{S}+{DAY}{S}*(?:-|\u2013|\u2014|to|through){S}*{MONTH}{S}+{DAY}(?:,{S}*[0-9]{{4}})?{B}",
-        rf"{B}{MONTH}{S}+{DAY}(?:,{S}*[0-9]{{4}})?{B}",
-        rf"{B}{DAY}{S}+{MONTH}(?:{S}+[0-9]{{4}})?{B}",
-        rf"{B}[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}{B}",
-        rf"{B}[0-9]{{1,2}}[/-][0-9]{{1,2}}(?:[/-][0-9]{{2,4}})?{B}",
+        rf"(?:Mon|Tue|Tues|Wed|Thu|Thur|Thurs|Fri|Sat|Sun)(?:day)?{B}",
+        rf"(?:today|tonight|tomorrow|yesterday|this{S}+(?:morning|afternoon|evening|week|weekend)|next{S}+(?:week|weekend)){B}",
+        rf"{MONTH}{S}+{DAY}{S}*(?:-|\u2013|\u2014|to|through){S}*{MONTH}{S}+{DAY}(?:,{S}*[0-9]{{4}})?{B}",
+        rf"{MONTH}{S}+{DAY}(?:,{S}*[0-9]{{4}})?{B}",
+        rf"{DAY}{S}+{MONTH}(?:{S}+[0-9]{{4}})?{B}",
+        rf"[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}{B}",
+        rf"[0-9]{{1,2}}[/-][0-9]{{1,2}}(?:[/-][0-9]{{2,4}})?{B}",
     ]
-)
-TIME = rf"(?i){B}[0-9]{{1,2}}(?::[0-9]{{2}})?{S}*(?:am|pm){B}|{B}[0-9]{{1,2}}:[0-9]{{2}}{B}"
+) + ")"
+TIME = rf"(?i){W}(?:[0-9]{{1,2}}(?::[0-9]{{2}})?{S}*(?:am|pm){B}|[0-9]{{1,2}}:[0-9]{{2}}{B})"
 STANDALONE_MONTH = rf"(?i)^{MONTH}\z"
 STANDALONE_DAY = rf"(?i)^{DAY_WITH_YEAR}\z"
 CONTEXT_LABEL = r"(?i)^(?:date|time|when|where|venue|location|event date|event time|category|type|details|info|information)\z"
 
 
 def any_of(words: str) -> str:
-    return f"(?i){B}(?:{words}){B}"
+    return f"(?i){W}(?:{words}){B}"
 
 
 # Words that speak for or against a block.

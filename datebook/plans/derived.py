@@ -23,7 +23,7 @@ LEADS = [
     "[a](u) [b](v) [c](w) [d](x)\n\nCookie settings\n\n- March 5 to March 7, live music",
 ]
 #: How often the first lead stands again after the text of a seventh of the documents.
-REPEATS = 400
+REPEATS = 100
 
 
 def signal_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

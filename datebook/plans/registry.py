@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datebook.plans import event_queries
+from datebook.plans import block_queries, event_queries
 
-_ALL = {**event_queries.QUERIES}
+_ALL = {**block_queries.QUERIES, **event_queries.QUERIES}
 
 
 def queries():

@@ -27,12 +27,21 @@ def noise_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(signals.is_noise(F.col("content"), F.col("score"))).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("score").cast("long").alias("score"), "content")
 
 
-def candidate_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_candidates(with_blocks(signal_docs(spark, sf_dir).filter("doc_id % 7 <> 0"), F.col("text")))
+def _priorities(docs: DataFrame) -> DataFrame:
+    rows = with_candidates(with_blocks(docs, F.col("text")))
     rows = rows.select("doc_id", F.posexplode(F.arrays_zip("priority", "scores")).alias("idx", "x"))
     return rows.filter("x.priority IS NOT NULL").select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("x.scores").cast("long").alias("score"), F.col("x.priority").cast("long").alias("priority"))
 
 
+def candidate_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six sevenths of the documents, as its SQL has it; ``candidate_priority_all`` has all."""
+    return _priorities(signal_docs(spark, sf_dir).filter("doc_id % 7 <> 0"))
+
+
+def candidate_priority_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _priorities(signal_docs(spark, sf_dir))
+
+
 def context_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return condense(signal_docs(spark, sf_dir), "text", BUDGET).select("doc_id", "condensed", F.length("condensed").cast("long").alias("chars"))
 
@@ -104,10 +113,12 @@ proposed AS (SELECT doc_id, idx, score, greatest(
     CASE WHEN pair OR p1 THEN 16 END, CASE WHEN p2 THEN 15 END, CASE WHEN p3 THEN 14 END, CASE WHEN p4 THEN 13 END, CASE WHEN idx < 18 THEN CASE WHEN score > 0 OR idx < 3 AND n <= 800 THEN 44 ELSE 4 END END) END,
   CASE WHEN title THEN h1 + 9 END, CASE WHEN title AND bridge1 THEN h2 + 9 END, CASE WHEN title AND n1 THEN 17 END, CASE WHEN title AND bridge1 AND n2 THEN 17 END) AS priority FROM paired)
 SELECT doc_id, idx, score, CAST(priority AS BIGINT) AS priority FROM proposed WHERE priority IS NOT NULL"""
+CANDIDATE_ALL_SQL = CANDIDATE_SQL.replace(" WHERE doc_id % 7 <> 0", "")
 
 QUERIES = {
     "block_scores": (block_scores, BLOCK_SCORES_SQL),
     "noise_blocks": (noise_blocks, NOISE_SQL),
     "candidate_priority": (candidate_priority, CANDIDATE_SQL),
+    "candidate_priority_all": (candidate_priority_all, CANDIDATE_ALL_SQL),
     "context_select": (context_select, None),
 }

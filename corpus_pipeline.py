@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datebook.llm import byte_bpe, decontamination, quality_rules, simhash, toxicity
+from datebook.llm import byte_bpe, decontamination, near_copies, quality_rules, toxicity
 from datebook.llm.common import table, written
 
 #: The tokenizer's file and pattern; every executor must be able to read the file.
@@ -28,8 +28,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays."""
-    return simhash.keep_one_of_each(docs)
+    """Of each group of texts whose 5-word shingles are alike by 0.8 or more the document of the least id stays."""
+    return near_copies.keep_one_of_similar(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,7 +131,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of rows that repeat an id one stays; rows without an id are left alone.
     """
-    members = checkpointed(simhash_components(docs, id_col, text_col).select(id_col, "component_id"))
+    return keep_least(docs, simhash_components(docs, id_col, text_col).select(id_col, "component_id"), id_col)
+
+
+def keep_least(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is its component's in ``members`` (``id_col, component_id``)."""
+    members = checkpointed(members)
     kept = docs.join(members.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
     repeated = members.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().filter("count > 1").select(id_col)
     if repeated.isEmpty():

@@ -17,8 +17,10 @@ table makes no shard.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -95,12 +97,14 @@ class TokenShard:
         return self.matrix.select(int(np.searchsorted(self.table, token)), np.arange(n)) if n else np.zeros(0, np.int64)
 
 
-def _library_encoder(path: str):
-    """Encodes pieces one by one with the tokenizers library; special tokens' strings are ordinary text."""
+def _library(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    return Tokenizer.from_file(path)
+
+
+def _library_encoder(tokenizer):
+    """Encodes texts one by one with the tokenizers library, which finds the strings of added tokens first."""
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = [], []
@@ -113,6 +117,27 @@ def _library_encoder(path: str):
     return encode
 
 
+def _added_tokens(tokenizer) -> re.Pattern | None:
+    """Matches where a text holds an added token's string; null without any."""
+    names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return re.compile("|".join(map(re.escape, names))) if names else None
+
+
+def _encode_all(texts: list[str | None], store: PieceStore, whole: Callable, added: re.Pattern | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of ``texts``: by pieces, but whole by the library where an added token may stand."""
+    odd = [i for i, t in enumerate(texts) if t and added and added.search(t)]
+    if not odd:
+        return store.encode(texts)
+    plain = list(texts)
+    for i in odd:
+        plain[i] = None
+    flat, counts = store.encode(plain)
+    own, own_counts = whole([texts[i] for i in odd])
+    flat = np.insert(flat, np.repeat(np.cumsum(counts)[odd], own_counts), own)
+    counts[odd] = own_counts
+    return flat, counts
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The written table of shards: ``part, seq, n_docs, n_tokens, payload``.
 
@@ -122,7 +147,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
     ordered = docs.select(F.col(id_col).cast("long"), text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
 
     def work(slices):
-        store, part = PieceStore(regex.compile(pattern), _library_encoder(tokenizer_path), 300_000), TaskContext.get().partitionId()
+        tokenizer = _library(tokenizer_path)
+        whole, added = _library_encoder(tokenizer), _added_tokens(tokenizer)
+        store, part = PieceStore(regex.compile(pattern), whole, 300_000), TaskContext.get().partitionId()
         seq, held_ids, held_counts, held_tokens, held = 0, [], [], [], 0
 
         def flush():
@@ -133,7 +160,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
             return row
 
         for ids, texts in slices:
-            flat, counts = store.encode(texts)
+            flat, counts = _encode_all(texts, store, whole, added)
             ends = np.cumsum(counts)
             tokens = np.insert(flat, ends, end_id)
             held_ids, held = held_ids + ids, held + len(tokens)

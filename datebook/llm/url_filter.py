@@ -3,14 +3,15 @@
 A path's segments are generalised where they look like a number, a date or an identifier, and the
 distinct paths of each host are counted; only these counts are worked on.  From the root down, a
 place of the tree with many children, most of them rare, becomes a wildcard.  Sibling branches whose
-share of bad labels doesn't differ significantly from the rest of their parent's are merged.  A
-template is rejected when the smoothed share of bad pages among its labelled ones is high.
+share of bad pages doesn't differ significantly from the rest of their parent's are merged.  A
+template is rejected when the smoothed share of bad pages among all its pages is high.
 
 Labels come from the rules (allow is good, block is bad) and from a list of terms in hosts and paths.
+A page without a rule counts as good unless it holds a term, so hits weigh against all such pages.
 A page that a rule fits has the rule's verdict whatever its template.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, which form a template like any
-other; segments beyond ``DEPTH`` are one; equal urls share a verdict; other columns are left out.
+other; equal urls share a verdict; other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,12 +26,11 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 #: Terms between word ends in a host or path that mark a page as bad.
 BAD_TERMS = ["adult", "casino", "cheap", "gambling", "malware", "phishing", "pills", "porn", "spam", "warez", "xxx"]
 
-DEPTH = 6
 #: A place with more children than this, at most a tenth of its pages to each on average, is a wildcard.
 MOST_CHILDREN = 20
 #: Significance of a difference between branches, in standard errors.
 DIFFERENT = 1.96
-#: The expected bad share before any label, and how many labels it weighs.
+#: The expected bad share before any page, and how many pages it weighs.
 PRIOR, WEIGHT = 0.1, 2.0
 REJECT = 0.5
 
@@ -57,7 +57,6 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def generalised(path: Column) -> Column:
     """Segments of a path, the variable ones as ``*`` with their ending."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    parts = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(parts)
     variable = r"^(?:[0-9][0-9_.-]*|[0-9a-fA-F-]{8,}|[A-Za-z0-9_-]{24,}|[A-Za-z_-]*[0-9]{3,})(\.[a-z]{1,5})?$"
     return F.transform(parts, lambda x: F.regexp_replace(x, variable, "*$1"))
 
@@ -69,25 +68,26 @@ def path_templates(pages: DataFrame, rules=RULES, bad_terms=BAD_TERMS) -> DataFr
     bad = F.when(F.col("verdict") == "block", 1).when(F.col("verdict") == "allow", 0).when(F.concat("host", "path").rlike(term), 1)
     tree = checkpointed(rows.groupBy("host", "parts").agg(F.count("*").alias("n"), F.sum(F.when(bad == 1, 1).otherwise(0)).alias("bad"), F.count(bad).alias("labelled")))
     tree = tree.withColumn("template", F.lit(""))
-    for level in range(DEPTH):
+    # A round for each level there is: one very deep path makes many rounds.
+    for level in range(tree.agg(F.max(F.size("parts"))).first()[0] or 0):
         part = F.get(F.col("parts"), F.lit(level))
         tree = tree.withColumn("part", part)
         children = tree.filter("part IS NOT NULL").groupBy("host", "template", "part").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
         places = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
         both = children.join(places, ["host", "template"])
-        others, other_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        pooled = F.try_divide("all_bad", "all_labelled")
-        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "labelled") + F.try_divide(F.lit(1), others)))
-        differs = F.coalesce((error > 0) & (F.abs(F.try_divide("bad", "labelled") - F.try_divide(other_bad, others)) > DIFFERENT * error), F.lit(False))
-        unlike = (F.col("labelled") > 0) != (others > 0)  # nothing shows that they are alike
+        others, other_bad = F.col("all_n") - F.col("n"), F.col("all_bad") - F.col("bad")
+        pooled = F.try_divide("all_bad", "all_n")
+        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "n") + F.try_divide(F.lit(1), others)))
+        differs = F.coalesce((error > 0) & (F.abs(F.try_divide("bad", "n") - F.try_divide(other_bad, others)) > DIFFERENT * error), F.lit(False))
+        unlike = ((F.col("labelled") > 0) != (F.col("all_labelled") > F.col("labelled"))) | ((F.col("bad") == F.col("n")) != (other_bad == others))  # nothing shows that they are alike
         crowded = (F.col("kinds") > MOST_CHILDREN) & (F.col("kinds") * 10 > F.col("all_n"))
         alike = (F.col("kinds") > 1) & (F.col("all_labelled") > 0) & ~differs & ~unlike
         named = both.select("host", "template", "part", F.when(crowded & ~differs | alike, "*").otherwise(F.col("part")).alias("name"))
         joined = tree.join(named, ["host", "template", "part"], "left")
         tree = joined.select("host", "parts", "n", "bad", "labelled", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"))
         tree = checkpointed(tree)
-    totals = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    purity = (F.col("bad") + PRIOR * WEIGHT) / (F.col("labelled") + WEIGHT)
+    totals = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+    purity = (F.col("bad") + PRIOR * WEIGHT) / (F.col("n") + WEIGHT)
     return tree.select("host", "parts", "template").join(totals.select("host", "template", "labelled", purity.alias("purity")), ["host", "template"])
 
 

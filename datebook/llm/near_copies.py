@@ -2,7 +2,7 @@
 
 A document is the set of the XXH64 hashes of its word shingles.  Equal sets fold into one node.  Nodes
 that share all ``ROWS`` minima of one of ``BANDS`` bands are candidates: a pair at similarity s is one
-with a chance of ``1 - (1 - s**ROWS)**BANDS``, 0.9997 at 0.8.  Only pairs whose whole sets reach the
+with a chance of ``1 - (1 - s**ROWS)**BANDS``, 0.9996 at 0.8.  Only pairs whose whole sets reach the
 similarity link, and what links is joined into components.
 
 A band's key that many nodes share holds a large group of near copies.  Its nodes are first held

@@ -2,8 +2,10 @@
 
 Texts are put in the order of their ids by range, encoded, and cut into shards of about ``SHARD_TOKENS``
 ids.  A shard's file holds its documents' ids and lengths, the table of its distinct token ids and one
-bit plane for each bit of a place in that table.  From the planes with rank and select one reads any
-token or document, counts a token up to any place and finds its occurrences.
+bit plane for each bit of a place in that table.  A plane is cut into frames, each compressed on its own;
+a directory has each frame's place in the file and the ones before it.  So a token costs one frame of
+each plane: with rank and select one reads any token or document, counts a token up to any place and
+finds its occurrences.
 
 The files are the binary rows of a Parquet table in the shared folder, so any store that Spark writes
 will do and a task that is run again replaces what it left; :func:`export_shards` gives them as rows
@@ -31,10 +33,10 @@ from pyspark.sql import functions as F
 
 from datebook.llm.common import map_rows, table, written
 from datebook.llm.pieces import PieceStore
-from datebook.llm.wavelet import Bits, WaveletMatrix
+from datebook.llm.wavelet import FRAME, FramedBits, WaveletMatrix
 
 SHARD_TOKENS = 1_000_000
-MAGIC = b"WMS1"
+MAGIC = b"WMS2"
 _HEAD = struct.Struct("<4sQQBQ")
 
 
@@ -54,27 +56,45 @@ class TokenShard:
         return cls(np.array([d or 0 for d in doc_ids], np.int64), known, counts.astype(np.int64), table_, WaveletMatrix.of(place[tokens], max(1, int(len(table_) - 1).bit_length())))
 
     def to_bytes(self) -> bytes:
-        """Header (magic, tokens, documents, levels, size of the table) and one zstd frame of all arrays."""
-        head = _HEAD.pack(MAGIC, self.matrix.size, len(self.doc_ids), len(self.matrix.planes), len(self.table))
-        body = b"".join([self.doc_ids.astype("<i8").tobytes(), np.packbits(self.known).tobytes(), self.counts.astype("<i8").tobytes(), self.table.astype("<u4").tobytes(), *[p.words.astype("<u8").tobytes() for p in self.matrix.planes]])
-        return head + zstandard.ZstdCompressor(level=1).compress(body)
+        """Header (magic, tokens, documents, levels, size of the table), directory and zstd sections.
+
+        The directory has the bytes at which each section ends and, for each plane, the ones before each
+        frame and in all.  Sections: ids, lengths and table together, then the frames plane by plane.
+        """
+        size, pack = self.matrix.size, zstandard.ZstdCompressor(level=1).compress
+        frames = [[p.words[k : k + FRAME // 64] for k in range(0, len(p.words), FRAME // 64)] for p in self.matrix.planes]
+        before = np.array([np.cumsum([0] + [int(np.bitwise_count(f).sum()) for f in plane]) for plane in frames])
+        known = b"".join([self.doc_ids.astype("<i8").tobytes(), np.packbits(self.known).tobytes(), self.counts.astype("<i8").tobytes(), self.table.astype("<u4").tobytes()])
+        sections = [pack(known), *(pack(f.astype("<u8").tobytes()) for plane in frames for f in plane)]
+        head = _HEAD.pack(MAGIC, size, len(self.doc_ids), len(frames), len(self.table))
+        return b"".join([head, np.cumsum([len(x) for x in sections]).astype("<i8").tobytes(), before.astype("<i8").tobytes(), *sections])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> TokenShard:
+        """Opens a file; its frames are unpacked one by one as they are asked for."""
         magic, size, docs, levels, distinct = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        body, at = zstandard.ZstdDecompressor().decompress(data[_HEAD.size :]), 0
+        n = size // FRAME + 1
+        ends = np.frombuffer(data, "<i8", 1 + levels * n, _HEAD.size)
+        before = np.frombuffer(data, "<i8", levels * (n + 1), _HEAD.size + ends.nbytes).reshape(levels, n + 1)
+        start, unpack = _HEAD.size + ends.nbytes + before.nbytes, zstandard.ZstdDecompressor().decompress
 
-        def take(kind: str, n: int) -> np.ndarray:
+        def section(k: int) -> bytes:
+            return unpack(data[start + (int(ends[k - 1]) if k else 0) : start + int(ends[k])])
+
+        body, at = section(0), 0
+
+        def take(kind: str, number: int) -> np.ndarray:
             nonlocal at
-            out = np.frombuffer(body, kind, n, at)
+            out = np.frombuffer(body, kind, number, at)
             at += out.nbytes
             return out
 
         ids, known = take("<i8", docs), np.unpackbits(take("u1", -(-docs // 8)), count=docs).astype(bool)
         counts, table_ = take("<i8", docs), take("<u4", distinct)
-        return cls(ids, known, counts, table_, WaveletMatrix([Bits(take("<u8", size // 64 + 1), size) for _ in range(levels)], size))
+        planes = [FramedBits(lambda k, level=level: np.frombuffer(section(1 + level * n + k), "<u8"), before[level], size) for level in range(levels)]
+        return cls(ids, known, counts, table_, WaveletMatrix(planes, size))
 
     def tokens(self) -> np.ndarray:
         """All ids of the shard, in order."""
@@ -84,12 +104,20 @@ class TokenShard:
         """The ids of the k-th document alone."""
         return self.table[self.matrix.access(np.arange(self.ends[k] - self.counts[k], self.ends[k]))]
 
+    def first_tokens(self) -> np.ndarray:
+        """The first id of each document; every document has one."""
+        return self.table[self.matrix.access(self.ends - self.counts)]
+
     def count(self, token: int, upto: int | None = None) -> int:
         """How often ``token`` stands before place ``upto``."""
+        return int(self.counts_before(token, np.array([self.matrix.size if upto is None else upto]))[0])
+
+    def counts_before(self, token: int, places: np.ndarray) -> np.ndarray:
+        """How often ``token`` stands before each of ``places``."""
         k = int(np.searchsorted(self.table, token))
         if k == len(self.table) or self.table[k] != token:
-            return 0
-        return int(self.matrix.rank(np.array([k]), np.array([self.matrix.size if upto is None else upto]))[0])
+            return np.zeros(len(places), np.int64)
+        return self.matrix.rank(np.full(len(places), k), places)
 
     def occurrences(self, token: int) -> np.ndarray:
         """The places of ``token``, in order."""
@@ -163,7 +191,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
             flat, counts = _encode_all(texts, store, whole, added)
             ends = np.cumsum(counts)
             tokens = np.insert(flat, ends, end_id)
-            held_ids, held = held_ids + ids, held + len(tokens)
+            held_ids.extend(ids)
+            held += len(tokens)
             held_counts.append(counts + 1)
             held_tokens.append(tokens)
             if held >= shard_tokens:
@@ -196,8 +225,11 @@ def read_documents(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.join(shard_starts(shards), ["part", "seq"]).select(id_col, (F.col("start") + F.col("inside")).alias("start"), "tokens")
 
 
-def document_digests(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``id_col, start, n_tokens, ids_crc32`` of every document, from the files."""
+def document_digests(shards: DataFrame, end_id: int, id_col: str = "doc_id") -> DataFrame:
+    """``id_col, start, n_tokens, ids_crc32, first_id, n_end_ids`` of every document, from the files.
+
+    The first id is read by access and the number of end ids by rank; the checksum takes all ids in order.
+    """
 
     def work(slices):
         for part, seq, payload in slices:
@@ -205,10 +237,11 @@ def document_digests(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 shard = TokenShard.from_bytes(data)
                 raw, ends = shard.tokens().astype("<u4").tobytes(), (4 * shard.ends).tolist()
                 n = len(ends)
-                yield [[p] * n, [s] * n, [int(d) if k else None for d, k in zip(shard.doc_ids, shard.known)], shard.ends - shard.counts, shard.counts, [zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends)]]
+                ended = np.diff(shard.counts_before(end_id, np.append(0, shard.ends)))
+                yield [[p] * n, [s] * n, [int(d) if k else None for d, k in zip(shard.doc_ids, shard.known)], shard.ends - shard.counts, shard.counts, [zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends)], shard.first_tokens().astype(np.int64), ended]
 
-    rows = map_rows(shards.select("part", "seq", "payload"), work, f"part int, seq int, {id_col} long, inside long, n_tokens long, ids_crc32 long", 1)
-    return rows.join(shard_starts(shards), ["part", "seq"]).select(id_col, (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    rows = map_rows(shards.select("part", "seq", "payload"), work, f"part int, seq int, {id_col} long, inside long, n_tokens long, ids_crc32 long, first_id long, n_end_ids long", 1)
+    return rows.join(shard_starts(shards), ["part", "seq"]).select(id_col, (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "first_id", "n_end_ids")
 
 
 def token_occurrences(shards: DataFrame, token: int) -> DataFrame:
@@ -232,4 +265,4 @@ def export_shards(shards: DataFrame) -> DataFrame:
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return document_digests(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2))
+    return document_digests(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2), 2)

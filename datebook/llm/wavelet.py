@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -44,10 +46,56 @@ class Bits:
         return word * 64 + (np.cumsum(lanes, axis=1, dtype=np.int8) == (rest + 1)[:, None]).argmax(axis=1)
 
 
+#: Bits of a frame, the piece of a plane that is read at once.
+FRAME = 1 << 16
+
+
+class FramedBits:
+    """A bit vector kept in frames of ``FRAME`` bits, each loaded when it is first asked for.
+
+    ``before`` has the ones before each frame and, last, those of the whole vector.
+    """
+
+    def __init__(self, load: Callable[[int], np.ndarray], before: np.ndarray, size: int):
+        self.load, self.before, self.size, self.ones = load, before, size, int(before[-1])
+        self.loaded: dict[int, Bits] = {}
+
+    def frame(self, k: int) -> Bits:
+        if k not in self.loaded:
+            self.loaded[k] = Bits(self.load(k), min(FRAME, self.size - k * FRAME))
+        return self.loaded[k]
+
+    def _each(self, frames: np.ndarray, kind: type, work: Callable[[Bits, np.ndarray], np.ndarray]) -> np.ndarray:
+        """``work`` on each frame and the places that fall to it."""
+        out = np.zeros(len(frames), kind)
+        for k in np.unique(frames).tolist():
+            mine = np.flatnonzero(frames == k)
+            out[mine] = work(self.frame(k), mine)
+        return out
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self._each(at // FRAME, bool, lambda f, mine: f[at[mine] % FRAME])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        return self.before[at // FRAME] + self._each(at // FRAME, np.int64, lambda f, mine: f.rank(at[mine] % FRAME))
+
+    def select(self, k: np.ndarray, one: bool = True) -> np.ndarray:
+        """Place of the k-th one or zero, from 0; ``k`` must be below their number."""
+        count = self.before if one else np.minimum(np.arange(len(self.before)) * FRAME, self.size) - self.before
+        frames = np.searchsorted(count, k, "right") - 1
+        return frames * FRAME + self._each(frames, np.int64, lambda f, mine: f.select(k[mine] - count[frames[mine]], one))
+
+    def all(self) -> np.ndarray:
+        """All bits; no frame is kept for it."""
+        words = np.concatenate([self.load(k) for k in range(len(self.before) - 1)])
+        return np.unpackbits(words.view(np.uint8), count=self.size, bitorder="little").view(bool)
+
+
 class WaveletMatrix:
     """Symbols of ``levels`` bits as one bit plane a level, highest bit first."""
 
-    def __init__(self, planes: list[Bits], size: int):
+    def __init__(self, planes: list[Bits | FramedBits], size: int):
         self.planes, self.size = planes, size
         self.zeros = [p.size - p.ones for p in planes]
 

@@ -19,12 +19,16 @@ table makes no shard.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
-from collections.abc import Callable
+from array import array
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -32,7 +36,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datebook.llm.common import map_rows, table, written
-from datebook.llm.pieces import PieceStore
 from datebook.llm.wavelet import FRAME, FramedBits, WaveletMatrix
 
 SHARD_TOKENS = 1_000_000
@@ -125,59 +128,130 @@ class TokenShard:
         return self.matrix.select(int(np.searchsorted(self.table, token)), np.arange(n)) if n else np.zeros(0, np.int64)
 
 
-def _library(path: str):
-    from tokenizers import Tokenizer
+#: Ends of a chunk in any text: a space between two characters that aren't white space.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Two characters in a row that any version of Unicode has as white space.
+_WIDE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
+#: Characters on whose class all versions of Unicode agree, and a word of letters among them with a mark or none.
+_PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+_WORD = r"^(?P<word> ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[,.;:!?]?)$"
 
-    return Tokenizer.from_file(path)
 
+def _strings(strings: pa.StringArray) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
 
-def _library_encoder(tokenizer):
-    """Encodes texts one by one with the tokenizers library, which finds the strings of added tokens first."""
 
-    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = [], []
-        for at in range(0, len(pieces), 10_000):
-            lists = [e.ids for e in tokenizer.encode_batch_fast(pieces[at : at + 10_000], add_special_tokens=False)]
-            counts.append(np.fromiter(map(len, lists), np.int64, len(lists)))
-            ids.append(np.fromiter((i for x in lists for i in x), np.int32, int(counts[-1].sum())))
-        return np.concatenate(ids), np.concatenate(counts)
+def _taken(flat: np.ndarray, counts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``flat``, cut by ``counts``, one after the other, and their lengths."""
+    starts, picked = np.cumsum(counts) - counts, counts[which]
+    at = np.repeat(starts[which] - np.cumsum(picked) + picked, picked)
+    at += np.arange(len(at))
+    return flat[at], picked
 
-    return encode
 
+class ChunkEncoder:
+    """Encodes texts with the tokenizers library, each distinct chunk of a slice once.
 
-def _added_tokens(tokenizer) -> re.Pattern | None:
-    """Matches where a text holds an added token's string; null without any."""
-    names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return re.compile("|".join(map(re.escape, names))) if names else None
+    The pattern of a byte-level tokenizer starts a piece at each space between two characters that
+    aren't white space, so a text is the sequence of its space-led chunks.  The distinct ones are
+    found in Arrow.  A chunk of plain characters is split by the pattern and its pieces go to the
+    library's model as they are after its byte mapping; any other chunk, and any text that holds the
+    string of an added token, goes to the library whole, and so does every text if the tokenizer isn't a
+    byte-level one without normalizer and prefix.
+    """
 
+    def __init__(self, path: str, pattern: str):
+        # Spark gives a task its share of the cores; threads of the library's own would add their memory to it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.pattern = Tokenizer.from_file(path), regex.compile(pattern)
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, names))) if names else None
+        before = self.tokenizer.pre_tokenizer
+        self.by_chunk = isinstance(before, pre_tokenizers.ByteLevel) and not before.add_prefix_space and self.tokenizer.normalizer is None
+        # The library's byte mapping, read from the library.
+        self.bytes = {b: pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0] if b < 128 else None for b in range(128)}
+        for b in range(128, 256):
+            two = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0]
+            for byte, char in zip(chr(b).encode(), two):
+                self.bytes[byte] = char
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of ``texts``, each encoded whole."""
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), 1000):
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.int32, int(counts[-1].sum())))
+        return np.concatenate(ids), np.concatenate(counts)
 
-def _encode_all(texts: list[str | None], store: PieceStore, whole: Callable, added: re.Pattern | None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of ``texts``: by pieces, but whole by the library where an added token may stand."""
-    odd = [i for i, t in enumerate(texts) if t and added and added.search(t)]
-    if not odd:
-        return store.encode(texts)
-    plain = list(texts)
-    for i in odd:
-        plain[i] = None
-    flat, counts = store.encode(plain)
-    own, own_counts = whole([texts[i] for i in odd])
-    flat = np.insert(flat, np.repeat(np.cumsum(counts)[odd], own_counts), own)
-    counts[odd] = own_counts
-    return flat, counts
+    def chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of ``chunks``."""
+        parts = pc.extract_regex(chunks, _WORD)
+        simple, rest = pc.is_valid(parts).to_numpy(zero_copy_only=False), pc.is_null(parts)
+        words, marks = (parts.filter(pc.is_valid(parts)).field(k).dictionary_encode() for k in (0, 1))
+        pieces = _strings(words.dictionary) + _strings(marks.dictionary)
+        places, known = {}, len(pieces)
+        of_rest, lengths, odd = [], [], []
+        plain, split = _PLAIN.fullmatch, self.pattern.findall
+        for chunk in _strings(chunks.filter(rest)):
+            if plain(chunk):
+                found = split(chunk)
+                of_rest.extend([places.setdefault(p, known + len(places)) for p in found])
+                lengths.append(len(found))
+            else:
+                of_rest.append(-1 - len(odd))
+                lengths.append(1)
+                odd.append(chunk)
+        model, mapped = self.tokenizer.model.tokenize, self.bytes
+        flat, counts = array("i"), array("q")
+        for piece in chain(pieces, places):
+            tokens = model(piece.encode().decode("latin-1").translate(mapped))
+            flat.extend([t.id for t in tokens])
+            counts.append(len(tokens))
+        odd_flat, odd_counts = self.whole(odd)
+        # The codes of all chunks' pieces, in order; an empty mark is a piece of no ids.
+        number = np.full(len(chunks), 2)
+        number[~simple] = lengths
+        first = np.cumsum(number) - number
+        codes = np.zeros(number.sum(), np.int64)
+        codes[first[simple]] = words.indices.to_numpy()
+        codes[first[simple] + 1] = len(words.dictionary) + marks.indices.to_numpy()
+        others = np.array(of_rest, np.int64)
+        others[others < 0] = len(counts) - 1 - others[others < 0]
+        codes[np.repeat(~simple, number)] = others
+        flat, per_code = _taken(np.concatenate([np.array(flat, np.int32), odd_flat]), np.concatenate([np.array(counts, np.int64), odd_counts]), codes)
+        return flat, np.bincount(np.repeat(np.arange(len(chunks)), number), per_code, minlength=len(chunks)).astype(np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of ids of each text."""
+        wide = pc.match_substring_regex(pa.array(texts, pa.string()), _WIDE).to_pylist()
+        kind = [0 if not t else 3 if not self.by_chunk or self.added and self.added.search(t) else 2 if w else 1 for t, w in zip(texts, wide)]
+        groups = [[i for i, k in enumerate(kind) if k == g] for g in range(4)]
+        lists = pa.concat_arrays([pc.split_pattern(pa.array([texts[i] for i in groups[1]], pa.string()), " "), pa.array([_CUT.split(texts[i]) for i in groups[2]], pa.list_(pa.string()))])
+        names = lists.flatten().dictionary_encode()
+        codes, sizes = names.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        first = np.cumsum(sizes) - sizes  # a text's first chunk has no space before it
+        firsts = names.dictionary.take(pa.array(codes[first]))
+        codes[first] = len(names.dictionary) + np.arange(len(first))
+        flat, counts = _taken(*self.chunks(pa.concat_arrays([pc.binary_join_element_wise("", names.dictionary, " "), firsts])), codes)
+        per_text = np.bincount(np.repeat(np.arange(len(sizes)), sizes), counts, minlength=len(sizes)).astype(np.int64)
+        whole, whole_counts = self.whole([texts[i] for i in groups[3]])
+        order = np.argsort(np.array(groups[0] + groups[1] + groups[2] + groups[3], np.int64))
+        return _taken(np.concatenate([flat, whole]), np.concatenate([np.zeros(len(groups[0]), np.int64), per_text, whole_counts]), order)
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The written table of shards: ``part, seq, n_docs, n_tokens, payload``.
 
-    ``pattern`` is the one by which the tokenizer splits a text before its merges.
+    ``pattern`` is the one by which the tokenizer splits a text before its merges; a byte-level one has no other.
     """
     # The order is by ranges of the id, so it is total over all partitions; a range of equal ids stays whole.
     ordered = docs.select(F.col(id_col).cast("long"), text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
 
     def work(slices):
-        tokenizer = _library(tokenizer_path)
-        whole, added = _library_encoder(tokenizer), _added_tokens(tokenizer)
-        store, part = PieceStore(regex.compile(pattern), whole, 300_000), TaskContext.get().partitionId()
+        encoder, part = ChunkEncoder(tokenizer_path, pattern), TaskContext.get().partitionId()
         seq, held_ids, held_counts, held_tokens, held = 0, [], [], [], 0
 
         def flush():
@@ -188,7 +262,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
             return row
 
         for ids, texts in slices:
-            flat, counts = _encode_all(texts, store, whole, added)
+            flat, counts = encoder.encode(texts)
             ends = np.cumsum(counts)
             tokens = np.insert(flat, ends, end_id)
             held_ids.extend(ids)
@@ -200,7 +274,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int
         if held_ids:
             yield flush()
 
-    return written(map_rows(ordered, work, "part int, seq int, n_docs long, n_tokens long, payload binary", 5_000, 3 * shard_tokens), "token-shards")
+    return written(map_rows(ordered, work, "part int, seq int, n_docs long, n_tokens long, payload binary", 20_000, 16 * shard_tokens), "token-shards")
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:

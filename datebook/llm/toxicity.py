@@ -1,24 +1,24 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-*Examples.*  At most ``per_class`` labelled rows of each class, taken by the hash of their id, are
-the examples; that bound is the only sample.  Everything counted about words covers all documents.
+*Examples.*  At most ``most`` labelled rows, half of them toxic or as many as there are, taken by the hash
+of their id, are the examples; that bound is the only sample.  Everything counted about words covers all documents.
 
-*Vector space.*  The terms are words and their stems of 4 to 7 bytes.  A term is kept when it is
-frequent in toxic examples and, from its frequency in all documents, most documents that hold it are
-expected to be toxic.  Weights are ``(1 + ln tf) * idf`` with document frequencies over all documents,
-scaled to unit length.
+*Vector space.*  The terms are all words of the examples and their stems of 4 to 7 bytes.  Weights are
+``(1 + ln tf) * idf`` with document frequencies over all documents, scaled to unit length.
 
-*Search.*  The examples stand in blocks of 64 behind an inverted index which has the greatest
-weight of each term in each block.  A query bounds each block's cosine by those, visits blocks
-from the highest bound down and stops when no bound reaches its k-th best cosine, so the neighbours
-are exact.
+*Search.*  The examples stand in blocks of 256, alike ones together, behind an inverted index which has
+the greatest weight of each term in each block.  A query bounds each block's cosine by those, works on
+blocks from the highest bound down and stops when no bound reaches its k-th best cosine, so the
+neighbours are exact.
 
-*Score.*  Neighbours vote with their cosine, shrunk to the prior; a logistic curve fitted to
-leave-one-out votes of the examples turns a vote into a probability.
+*Score.*  Neighbours vote with their cosine, shrunk to the prior; a rising curve fitted to leave-one-out
+votes of the examples turns a vote into a probability.  Of the numbers of neighbours in
+``KS`` the one is taken whose leave-one-out fit is the likeliest.
 
 Edge cases: null and empty texts and texts without a term have no neighbours and get the score of an
-empty vote; without labels of both classes every score is the prior; a label of null or a repeated
-label row isn't used twice; other columns are left out.
+empty vote; without labels of both classes every score is the prior; a label of null isn't used, a
+repeated label row once; of document rows that repeat an id the least text is the example; other columns
+are left out.  Memory of the index grows with the examples' distinct terms.
 """
 
 from __future__ import annotations
@@ -27,12 +27,15 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datebook.llm.common import alnum_words, checkpointed, crc_fold, map_rows, table
+from datebook.llm.common import _parts, alnum_words, crc_fold, map_rows, table
 
-BLOCK = 64
+BLOCK = 256
+#: Numbers of neighbours to choose from.
+KS = (5, 15, 60, 120)
 REJECT = 0.7
 
 
@@ -51,23 +54,30 @@ def terms(words: list[bytes]) -> Counter:
     return count
 
 
-def stem_sets(keys) -> list[tuple[int, frozenset]]:
-    """The stems among ``keys`` by length, without their marks, and the words as length 0."""
-    split = {k: frozenset(t[2:] for t in keys if t[:2] == b"%d~" % k) for k in STEMS}
-    return [(0, frozenset(t for t in keys if t[1:2] != b"~"))] + [(k, v) for k, v in split.items() if v]
+class TermIds(dict):
+    """The places in a vocabulary of each word's terms; remembers up to 200,000 words."""
 
+    def __init__(self, vocabulary: dict[bytes, int]):
+        self.vocabulary = vocabulary
 
-def present(words: list[bytes], sets: list[tuple[int, frozenset]]) -> list[bytes]:
-    """Those terms of ``sets`` that a text holds."""
-    own, found = set(words), []
-    for k, known in sets:
-        found += [b"%d~%s" % (k, t) for t in known & {w[:k] for w in own if len(w) > k}] if k else known & own
-    return found
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) >= 200_000:
+            self.clear()
+        place = self.vocabulary.get
+        self[word] = found = [i for i in (place(word, -1), *(place(b"%d~%s" % (k, word[:k]), -1) for k in STEMS if len(word) > k)) if i >= 0]
+        return found
+
+    def __reduce__(self):
+        return TermIds, (self.vocabulary,)
 
 
 @dataclass
 class NearestExamples:
-    """Block-max index over examples; small, as the examples and the terms are bounded."""
+    """Block-max index over examples: for each term the blocks that hold it, with the greatest weight there.
+
+    ``offsets`` has where a term's postings start; ``examples`` and ``weights`` are the postings.  Those of a
+    term that over a sixteenth of the examples hold stand as one row of weights a block instead.
+    """
 
     vocabulary: dict[bytes, int]
     idf: np.ndarray
@@ -79,176 +89,240 @@ class NearestExamples:
     prior: float
     k: int = 15
     shrink: float = 0.5
-    curve: tuple[float, float] = (0.0, 1.0)
+    #: Votes in ascending order and the probability at each.
+    curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def __post_init__(self):
-        blocks = max(1, -(-len(self.toxic) // BLOCK))
-        self.block_max = np.zeros((len(self.idf), blocks), np.float32)
-        term = np.repeat(np.arange(len(self.idf)), np.diff(self.offsets))
-        np.maximum.at(self.block_max, (term, self.examples // BLOCK), self.weights)
+        size = np.diff(self.offsets)
+        self.blocks = -(-len(self.toxic) // BLOCK)
+        term, self.heavy = np.repeat(np.arange(len(size)), size), np.where(size * 16 > len(self.toxic), 0, -1)
+        self.heavy[self.heavy == 0] = np.arange((self.heavy == 0).sum())
+        thick = self.heavy[term] >= 0
+        self.rows = np.zeros((self.heavy.max(initial=-1) + 1, self.blocks * BLOCK), np.float32)
+        self.rows[self.heavy[term[thick]], self.examples[thick]] = self.weights[thick]
+        term, self.thin, self.thin_weights = term[~thick], self.examples[~thick], self.weights[~thick]
+        block = self.thin // BLOCK
+        first = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(block) != 0))[: len(term)])
+        #: A row for each other term and block that holds it: the block, the greatest weight, the postings' start.
+        self.pairs = (block[first], np.maximum.reduceat(self.thin_weights, first) if len(first) else self.thin_weights, np.append(first, len(term)))
+        self.pair_offsets = np.searchsorted(term[first], np.arange(len(size) + 1))
+        self.term_ids = TermIds(self.vocabulary)
 
     def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        known = [(self.vocabulary[t], n) for t, n in terms(words).items() if t in self.vocabulary]
-        at = np.array([i for i, _ in known], np.int64)
-        weight = (1 + np.log([n for _, n in known])) * self.idf[at] if known else np.zeros(0)
+        ids: list[int] = []
+        lengths, counts = [], Counter(words)
+        for w in counts:
+            found = self.term_ids[w]
+            ids += found
+            lengths.append(len(found))
+        at, back = np.unique(np.array(ids, np.int64), return_inverse=True)
+        tf = np.bincount(back, np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), lengths), len(at))
+        weight = (1 + np.log(np.maximum(tf, 1))) * self.idf[at]
         return at, weight / max(float(np.sqrt((weight**2).sum())), 1e-12)
 
-    def neighbours(self, at: np.ndarray, weight: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the highest positive cosine as ``(cosine, example)``, best first."""
-        bounds = weight @ self.block_max[at]
+    def neighbours(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector, cosines and places of the k examples of the highest positive cosine, best first."""
+        out = []
+        for at in range(0, len(vectors), 256):
+            some = vectors[at : at + 256]
+            queries = np.zeros((len(some), len(self.rows)), np.float32)
+            for query, (terms_, weight) in zip(queries, some):
+                row = self.heavy[terms_]
+                query[row[row >= 0]] = weight[row >= 0]
+            for i, (part, (terms_, weight)) in enumerate(zip(queries @ self.rows, some)):
+                thin = self.heavy[terms_] < 0
+                out.append(self._nearest(part, terms_[thin], weight[thin], without[at + i] if without else -1))
+        return out
+
+    def _nearest(self, part: np.ndarray, at: np.ndarray, weight: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The neighbours, from the ``part`` of each cosine that the rows give and the other terms."""
+        block_of, most, postings = self.pairs
+        pair, by = _ranges(self.pair_offsets[at], self.pair_offsets[at + 1])
+        weight, block = weight[by], block_of[pair]
+        bounds = np.bincount(block, weight * most[pair], self.blocks) + part.reshape(self.blocks, BLOCK).max(1, initial=0)
         order = np.argsort(-bounds, kind="stable")
-        best: list[tuple[float, int]] = []
-        for block in order.tolist():
-            if bounds[block] <= 0 or len(best) == self.k and bounds[block] < best[-1][0] - 1e-6:
+        cosine, found = np.zeros(0), np.zeros(0, np.int64)
+        done, step = 0, 1
+        while done < len(order):
+            some = order[done : done + step]
+            some = some[bounds[some] > (max(0.0, cosine[self.k - 1] - 1e-5) if len(cosine) >= self.k else 0.0)]
+            if not len(some):
                 break
-            cosines = np.zeros(BLOCK)
-            for t, w in zip(at.tolist(), weight.tolist()):
-                if self.block_max[t, block] > 0:
-                    lo, hi = self.offsets[t], self.offsets[t + 1]
-                    a, b = lo + np.searchsorted(self.examples[lo:hi], [block * BLOCK, (block + 1) * BLOCK])
-                    cosines[self.examples[a:b] - block * BLOCK] += w * self.weights[a:b]
-            found = np.flatnonzero(cosines > 0)
-            best = sorted(best + [(float(cosines[i]), int(block * BLOCK + i)) for i in found if block * BLOCK + i != without], key=lambda x: (-x[0], x[1]))[: self.k]
-        return best
-
-    def vote(self, best: list[tuple[float, int]]) -> float:
-        total = sum(c for c, _ in best)
-        return (sum(c for c, i in best if self.toxic[i]) + self.shrink * self.prior) / (total + self.shrink)
+            chosen = np.zeros(self.blocks, bool)
+            chosen[some] = True
+            mine = chosen[block]
+            posting, by = _ranges(postings[pair[mine]], postings[pair[mine] + 1])
+            sums = np.where(np.repeat(chosen, BLOCK), part, 0) + np.bincount(self.thin[posting], weight[mine][by] * self.thin_weights[posting], len(part))
+            new = np.flatnonzero(sums > 0)
+            new = new[new != without]
+            cosine, found = np.append(cosine, sums[new]), np.append(found, new)
+            if len(cosine) > self.k:
+                best = np.argpartition(-cosine, self.k)[: self.k]
+                cosine, found = cosine[best], found[best]
+            best = np.lexsort((found, -cosine))
+            cosine, found = cosine[best], found[best]
+            done, step = done + step, 8 * step
+        return cosine, found
+
+    def vote(self, cosine: np.ndarray, found: np.ndarray) -> float:
+        return (float(cosine[self.toxic[found]].sum()) + self.shrink * self.prior) / (float(cosine.sum()) + self.shrink)
 
     def score(self, vote: float) -> float:
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-(a + b * vote))))
+        return float(np.interp(vote, *self.curve))
+
+    def of(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Each text's score and its neighbours."""
+        return [(self.score(self.vote(*best)), *best) for best in self.neighbours([self.vector(alnum_words(t)) for t in texts])]
 
     def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Fit the curve to leave-one-out votes, with the classes weighted as they are in the labels."""
-        votes = np.array([self.vote(self.neighbours(*v, without=i)) for i, v in enumerate(vectors)])
+        """Choose k and fit the curve by leave-one-out votes, the classes weighted as they are in the labels."""
+        self.k = max(KS)
+        near = self.neighbours(vectors, list(range(len(vectors))))
         y = self.toxic.astype(float)
         share = np.where(y == 1, self.prior / max(y.sum(), 1), (1 - self.prior) / max((1 - y).sum(), 1)) * len(y)
-        x, beta = np.stack([np.ones_like(votes), votes], 1), np.zeros(2)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-(x @ beta)))
-            gradient = x.T @ (share * (p - y)) + 1e-2 * beta
-            hessian = (x * (share * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + 1e-2 * np.eye(2)
-            step = np.linalg.solve(hessian, gradient)
-            beta -= step * min(1.0, 5 / max(float(np.abs(step).max()), 1e-9))
-        self.curve = (float(beta[0]), float(beta[1]))
-
-
-def _examples(labels: DataFrame, per_class: int) -> tuple[DataFrame, float]:
-    """Up to ``per_class`` ids of each class, and the share of toxic labels."""
+        best = None
+        for k in KS:
+            votes = np.array([self.vote(c[:k], f[:k]) for c, f in near])
+            curve = _rising(votes, y, share, self.prior)
+            p = np.interp(votes, *curve)
+            likely = float((share * np.log(np.where(y == 1, p, 1 - p))).sum())
+            if best is None or likely > best[0]:
+                best = (likely, k, curve)
+        _, self.k, self.curve = best
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one range after the other, and the range of each."""
+    size = end - start
+    by = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(by)) + (start - np.cumsum(size) + size)[by], by
+
+
+def _rising(x: np.ndarray, y: np.ndarray, share: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rising curve nearest to ``y`` over ``x``, by pooling adjacent violators: places and values.
+
+    A pool's mean counts one more case at the prior, so no value is 0 or 1.
+    """
+    pools: list[list[float]] = []  # weight, weight of y, weight of x
+    for i in np.argsort(x, kind="stable").tolist():
+        pools.append([share[i], share[i] * y[i], share[i] * x[i]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    weight, ones, place = np.array(pools).T
+    return place / weight, np.maximum.accumulate((ones + prior) / (weight + 1))
+
+
+def _examples(labels: DataFrame, most: int) -> tuple[DataFrame, float]:
+    """Up to ``most`` ids, half of them toxic or as many as there are, and the share of toxic labels."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(crc_fold("doc_id") != 1).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     count = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    some = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (True, False)]
+    toxic = min(count.get(True, 0), max(most // 2, most - count.get(False, 0)))
+    some = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((True, toxic), (False, most - toxic))]
     return some[0].union(some[1]), count.get(True, 0) / max(1, sum(count.values()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_terms: int = 20_000) -> NearestExamples:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2000) -> NearestExamples:
     """The index, learned from rows outside the held-out fold (crc32 of the id as text, modulo 3, is 1)."""
-    ids, prior = _examples(labels, per_class)
+    ids, prior = _examples(labels, most)
 
     def spelled(slices):
         for doc_ids, toxic, texts in slices:
-            rows = [(d, y, t, n) for d, y, x in zip(doc_ids, toxic, texts) for t, n in terms(alnum_words(x)).items()]
+            rows = [(d, y, t, n) for d, y, x in zip(doc_ids, toxic, texts) for t, n in (terms(alnum_words(x)) or {b"": 0}).items()]
             yield [list(c) for c in zip(*rows)] if rows else [[], [], [], []]
 
-    # At most 2 * per_class ids, so the broadcast is bounded.
-    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
-    rows = checkpointed(map_rows(chosen, spelled, "doc_id long, toxic boolean, term binary, tf int", 100))
-    size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    toxic_n, clean_n = size.get(True, 0), size.get(False, 0)
-    share = rows.groupBy("term").agg(F.count(F.when(F.col("toxic"), 1)).alias("a"), F.count(F.when(~F.col("toxic"), 1)).alias("b"))
-    # A first choice from the examples alone bounds what is counted in all documents.
-    likely = share.filter((F.col("a") >= 4) & (F.col("a") / max(toxic_n, 1) >= 2 * (F.col("b") + 0.5) / (clean_n + 1))).orderBy(F.desc("a"), "term").limit(most_terms).collect()
-    total, frequency = document_frequency(docs, [bytes(r.term) for r in likely])
-    # Of the documents with the term, the share that is toxic if the examples stand for all.
-    kept = [(bytes(r.term), f) for r, f in zip(likely, frequency) if f and prior * total * (r.a - r.a**0.5) / max(toxic_n, 1) >= 0.5 * f]
-    vocabulary = {t: i for i, (t, _) in enumerate(kept)}
-    idf = np.log((total + 1) / (np.array([f for _, f in kept]) + 0.5)) if kept else np.zeros(0)
-    spark = docs.sparkSession
-    names = spark.createDataFrame([(bytearray(t), i) for t, i in vocabulary.items()], "term binary, i int")
-    by_doc: dict[int, tuple[bool, list]] = {r.doc_id: (r.toxic, []) for r in rows.select("doc_id", "toxic").distinct().collect()}
-    for r in rows.join(F.broadcast(names), "term").select("doc_id", "i", "tf").collect():  # at most 2 * per_class short lists
-        by_doc[r.doc_id][1].append((r.i, r.tf))
-    examples = [(d, y, sorted(v)) for d, (y, v) in sorted(by_doc.items()) if v]
-    vectors = []
-    for _, _, v in examples:
-        at = np.array([i for i, _ in v], np.int64)
-        w = (1 + np.log([n for _, n in v])) * idf[at]
-        vectors.append((at, w / np.sqrt((w**2).sum())))
-    term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
-    example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-    weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
-    order = np.lexsort((example, term))
-    offsets = np.searchsorted(term[order], np.arange(len(kept) + 1))
-    index = NearestExamples(vocabulary, idf, np.array([d for d, _, _ in examples], np.int64), np.array([y for _, y, _ in examples], bool), offsets, example[order], weight[order].astype(np.float32), prior)
-    if toxic_n and clean_n:
-        # Examples without a term have no neighbours and count in the fit with the empty vote.
-        nothing = (np.zeros(0, np.int64), np.zeros(0))
-        rest = [y for y, v in by_doc.values() if not v]
-        whole = NearestExamples(**{k: getattr(index, k) for k in ("vocabulary", "idf", "example_ids", "offsets", "examples", "weights", "prior")}, toxic=np.append(index.toxic, np.array(rest, bool)))
-        whole.calibrate(vectors + [nothing] * len(rest))
-        index.curve = whole.curve
+    # At most ``most`` ids, so the broadcast is bounded, and so is what the driver takes of them.
+    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = map_rows(chosen, spelled, "doc_id long, toxic boolean, term binary, tf int", 100).toArrow()
+    # A text without a term has the row of an empty one, which no text holds.
+    keys = rows["term"].combine_chunks().dictionary_encode()
+    vocabulary = {t: i for i, t in enumerate(keys.dictionary.to_pylist())}
+    total, frequency = document_frequency(docs, vocabulary)
+    idf = np.log((total + 1) / (frequency + 0.5)) * (frequency > 0)
+    names, example = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
+    toxic = np.zeros(len(names), bool)
+    toxic[example] = rows["toxic"].to_numpy()
+    term, weight = keys.indices.to_numpy().astype(np.int64), idf[keys.indices.to_numpy()] * (1 + np.log(np.maximum(rows["tf"].to_numpy(), 1)))
+    weight /= np.maximum(np.sqrt(np.bincount(example, weight**2, len(names))), 1e-12)[example]
+    place = np.empty(len(names), np.int64)
+    place[_alike(example, term, weight, len(names), len(idf))] = np.arange(len(names))
+    example = place[example]
+    order, back = np.lexsort((example, term)), np.argsort(place)
+    index = NearestExamples(vocabulary, idf, names[back], toxic[back], np.searchsorted(term[order], np.arange(len(idf) + 1)), example[order].astype(np.int32), weight[order].astype(np.float32), prior)
+    if toxic.any() and not toxic.all():
+        by_example = np.argsort(example, kind="stable")
+        ends = np.cumsum(np.bincount(example, minlength=len(names)))
+        index.calibrate([(term[o], weight[o]) for o in np.split(by_example, ends[:-1])])
     else:
-        index.curve = (float(np.log((prior + 1e-3) / (1 - prior + 1e-3))), 0.0)
+        index.curve = (np.zeros(1), np.full(1, prior))
     return index
 
 
-def document_frequency(docs: DataFrame, candidates: list[bytes]) -> tuple[int, np.ndarray]:
-    """The number of all documents, and of those that hold each candidate term."""
-    place = {t: i for i, t in enumerate(candidates)}
-    sets = stem_sets(place)
+def _alike(example: np.ndarray, term: np.ndarray, weight: np.ndarray, examples: int, n_terms: int) -> np.ndarray:
+    """The examples in an order that has those of one language together: by their part in the second of the
+    leading directions of all vectors (the first is what they share)."""
+    held, first = np.cos(np.arange(examples) * 0.7) + 1.5, None
+    for round_ in range(2):
+        for _ in range(15):
+            if first is not None:
+                held = held - first * (first @ held)
+            held = np.bincount(example, weight * np.bincount(term, weight * held[example], n_terms)[term], examples)
+            held = held / max(float(np.sqrt((held**2).sum())), 1e-12)
+        if round_ == 0:
+            first, held = held, np.sin(np.arange(examples) * 1.3)
+    return np.argsort(held, kind="stable")
+
+
+def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int, np.ndarray]:
+    """The number of all documents, and of those that hold each term."""
 
     def work(slices):
-        count, seen = np.zeros(len(place), np.int64), 0
+        term_ids = TermIds(vocabulary)
+        count, seen = np.zeros(len(vocabulary), np.int64), 0
         for (texts,) in slices:
             seen += len(texts)
             for text in texts:
-                for t in present(alnum_words(text), sets):
-                    count[place[t]] += 1
+                count[list({i for w in set(alnum_words(text)) for i in term_ids[w]})] += 1
         some = np.flatnonzero(count)
-        yield [[-1, *some.tolist()], [seen, *count[some].tolist()]]
+        yield [np.append(-1, some), np.append(seen, count[some])]
 
-    out = np.zeros(len(place), np.int64)
-    total = 0
-    for r in map_rows(docs.select("text"), work, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row a candidate
-        if r.i < 0:
-            total = r.n
-        else:
-            out[r.i] = r.n
-    return total, out
+    counted = map_rows(docs.select("text"), work, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row a term of the examples
+    at, n = counted["i"].to_numpy(), counted["n"].to_numpy()
+    out = np.zeros(len(vocabulary), np.int64)
+    out[at[at >= 0]] = n[at >= 0]
+    return int(n[at < 0].sum()), out
 
 
 def toxicity_scores(docs: DataFrame, index: NearestExamples, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, score double, evidence array<struct<doc_id, cosine, toxic>>`` of every whole text."""
-    sets = stem_sets(index.vocabulary)
 
     def work(slices):
         for ids, texts in slices:
-            scores, evidence = [], []
-            for text in texts:
-                words = alnum_words(text)
-                best = index.neighbours(*index.vector(words)) if present(words, sets) else []
-                scores.append(index.score(index.vote(best)))
-                evidence.append([{"doc_id": int(index.example_ids[i]), "cosine": c, "toxic": bool(index.toxic[i])} for c, i in best])
-            yield [ids, scores, evidence]
+            found = index.of(texts)
+            evidence = [[{"doc_id": int(index.example_ids[i]), "cosine": float(c), "toxic": bool(index.toxic[i])} for c, i in zip(cosine, near)] for _, cosine, near in found]
+            yield [ids, [score for score, _, _ in found], evidence]
 
     return map_rows(docs.select(F.col(id_col).cast("long"), text_col), work, f"{id_col} long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: boolean>>")
 
 
+def toxic_scores(docs: DataFrame, index: NearestExamples, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, score double`` of every whole text."""
+
+    def work(slices):
+        for ids, texts in slices:
+            yield [ids, [score for score, _, _ in index.of(texts)]]
+
+    return map_rows(docs.select(F.col(id_col).cast("long"), text_col), work, f"{id_col} long, score double")
+
+
 def without_toxic(docs: DataFrame, index: NearestExamples, text_col: str = "text", reject: float = REJECT) -> DataFrame:
     """Rows of ``docs`` that score below ``reject``, with the same columns."""
-    import pyarrow as pa
-
     at = docs.columns.index(text_col)
-    sets = stem_sets(index.vocabulary)
 
     def run(batches):
-        for batch in batches:
-            keep = []
-            for text in batch.column(at).to_pylist():
-                words = alnum_words(text)
-                keep.append(index.score(index.vote(index.neighbours(*index.vector(words)) if present(words, sets) else [])) < reject)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for batch in _parts(whole, 1000, 8_000_000):
+                yield batch.filter(pa.array([score < reject for score, _, _ in index.of(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -256,4 +330,4 @@ def without_toxic(docs: DataFrame, index: NearestExamples, text_col: str = "text
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity_scores(docs, index).select("doc_id", F.coalesce(crc_fold("doc_id") == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
+    return toxic_scores(docs, index).select("doc_id", F.coalesce(crc_fold("doc_id") == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))

@@ -1,9 +1,10 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
-from datebook.llm.toxicity import NearestExamples, fit, toxicity_scores, without_toxic
+from datebook.llm.toxicity import STEMS, NearestExamples, fit, toxicity_scores, without_toxic
 
 
 def index_of(vectors, toxic, n_terms, k):
@@ -26,11 +27,11 @@ def test_neighbours_are_exact():
         dense = np.zeros(40)
         dense[q[0]] = q[1]
         cosines = [float(dense[a] @ w) for a, w in vectors]
-        got = index.neighbours(*q)
+        got = index.neighbours([q])[0]
         want = sorted((c for c in cosines if c > 0), reverse=True)[:7]
-        assert np.allclose([c for c, _ in got], want, atol=1e-5)
-        assert all(abs(cosines[i] - c) < 1e-5 for c, i in got)
-    assert index.neighbours(np.zeros(0, np.int64), np.zeros(0)) == []
+        assert np.allclose(got[0], want, atol=1e-5)
+        assert all(abs(cosines[i] - c) < 1e-5 for c, i in zip(*got))
+    assert len(index.neighbours([(np.zeros(0, np.int64), np.zeros(0))])[0][0]) == 0
 
 
 def corpus(n=900):
@@ -68,3 +69,46 @@ def test_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.evidence for r in toxicity_scores(docs, fit(docs, none)).collect()] == [[], []]
     assert toxicity_scores(docs.limit(0), fit(docs.limit(0), none)).count() == 0
+
+
+def test_fit_by_brute_force(spark):
+    docs, labels = corpus(300)
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    index = fit(d, lab)
+    learn = {i: y for i, _, y in labels if i is not None and y is not None and zlib.crc32(str(i).encode()) % 3 != 1}
+    assert dict(zip(index.example_ids.tolist(), index.toxic.tolist())) == {i: bool(y) for i, y in learn.items()}
+
+    def count(text):
+        words = (text or "").encode().split()
+        return Counter(words) + Counter(b"%d~%s" % (k, w[:k]) for w in words for k in STEMS if len(w) > k)
+
+    held = [count(t) for _, t, _ in docs]
+    df = Counter(t for c in held for t in c)
+
+    def unit(c, known):
+        v = {t: (1 + np.log(n)) * np.log((len(docs) + 1) / (df[t] + 0.5)) for t, n in c.items() if t in known}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    of = {i: c for (i, _, _), c in zip(docs, held)}
+    known = {t for i in learn for t in of[i]}
+    examples = {i: unit(of[i], known) for i in learn}
+    rows = {r.doc_id: r for r in toxicity_scores(d, index).collect() if r.doc_id is not None}
+    assert set(index.vocabulary) - {b""} == known
+    for i in range(0, 300, 7):
+        q = unit(of[i], known)
+        cosines = sorted((sum(x * e.get(t, 0) for t, x in q.items()) for e in examples.values()), reverse=True)
+        assert np.allclose([e.cosine for e in rows[i].evidence], [c for c in cosines if c > 0][: index.k], atol=1e-5)
+        total = sum(e.cosine for e in rows[i].evidence)
+        vote = (sum(e.cosine for e in rows[i].evidence if e.toxic) + index.shrink * index.prior) / (total + index.shrink)
+        assert abs(rows[i].score - np.interp(vote, *index.curve)) < 1e-6
+
+
+def test_repeated_rows_and_bound(spark):
+    rows = [(i, f"word{i} plain", "x") for i in range(40)] + [(1, "another text", "x"), (1, "word1 plain", "x")]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(40)] * 2
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string, tf string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    indexes = [fit(x, lab, most=10) for x in (d, d.orderBy("text"))]
+    assert [len(i.toxic) for i in indexes] == [10, 10] and indexes[0].toxic.sum() == 5
+    assert indexes[0].vocabulary.keys() == indexes[1].vocabulary.keys()
+    assert toxicity_scores(d, indexes[0]).count() == 42

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datebook.llm.common import _ALNUM, alnum_words, map_rows, table
+from datebook.llm.common import _ALNUM, _parts, alnum_words, checkpointed, map_rows, table
 from datebook.llm.wavelet import Bits, WaveletMatrix
 
 WINDOW = 10
@@ -220,49 +220,71 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str = "n_chars", most: int = PART_CHARS) -> DataFrame:
     """Rows of ``docs`` with every benchmark occurrence cut out of the text and ``length_col`` set anew.
 
-    A cut can bring words together that form a phrase, so a text is searched again until none is
-    left.  A document that had nothing but benchmark words goes; all others stay as they are.
+    A round finds the occurrences of all parts of the benchmark in a text and cuts them at once.  A cut can
+    bring words together that form a phrase, so what was cut is searched again until none is left; the
+    parts' size doesn't change the result.  A document that had nothing but benchmark words goes; all
+    others stay as they are.
     """
-    at, fields = docs.columns.index(text_col), docs.schema
+    at, columns, marks = docs.columns.index(text_col), docs.columns, "marks"
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
+    while marks in columns:
+        marks += "_"
 
-    def cut(texts: list[str | None], part: Phrases) -> tuple[list[str | None], list[bool]]:
-        todo, gone = list(range(len(texts))), [False] * len(texts)
+    def work(old: list[str | None], marked: list[list[int]], part: Phrases, only: bool, last: bool) -> tuple[list, list, list]:
+        """Texts, their marks and whether they go.  Marks are spans, and after the last part whether there was a cut."""
+        texts, gone, todo = list(old), [False] * len(old), range(len(old))
         while todo:
             counts, spans, _ = find([texts[i] for i in todo], part)
             again = []
-            for i, n, s in zip(todo, counts.tolist(), spans):
-                if s:
-                    texts[i], gone[i] = without_spans(texts[i], s), sum(b - a for a, b in s) == n
+            for i, n, new in zip(todo, counts.tolist(), spans):
+                new = merged(list(zip(marked[i][::2], marked[i][1::2])), new)
+                if not last:
+                    marked[i] = [x for span in new for x in span]
+                    continue
+                if new:
+                    texts[i], gone[i] = without_spans(texts[i], new), sum(b - a for a, b in new) == n
                     again.append(i)
+                marked[i] = []
+            if not only:
+                marked = [[1, 1] if i in set(again) else m for i, m in enumerate(marked)] if last else marked
+                break
             todo = again
-        return texts, gone
+        return texts, marked, gone
 
-    def run_with(part: Phrases):
+    def run_with(part: Phrases, only: bool, last: bool):
         def run(batches):
-            from datebook.llm.common import _parts
-
             for whole in batches:
                 for batch in _parts(whole, 20_000, 6_000_000):
-                    old = batch.column(at).to_pylist()
-                    texts, gone = cut(list(old), part)
-                    columns = list(batch.columns)
-                    columns[at] = pa.array(texts, batch.schema.field(at).type)
+                    fields, old = batch.schema, batch.column(at).to_pylist()
+                    texts, marked, gone = work(old, batch.column(batch.num_columns - 1).to_pylist(), part, only, last)
+                    new = list(batch.columns)
+                    new[at], new[-1] = pa.array(texts, fields.field(at).type), pa.array(marked, fields.field(len(new) - 1).type)
                     if length_at is not None:
                         lengths = [n if t is o else len(t) for n, o, t in zip(batch.column(length_at).to_pylist(), old, texts)]
-                        columns[length_at] = pa.array(lengths, batch.schema.field(length_at).type)
-                    yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([not g for g in gone], pa.bool_()))
+                        new[length_at] = pa.array(lengths, fields.field(length_at).type)
+                    yield pa.RecordBatch.from_arrays(new, schema=fields).filter(pa.array([not g for g in gone], pa.bool_()))
 
         return run
 
-    number = 0
-    for part in parts(benchmark, most):
-        docs = docs.mapInArrow(run_with(part), fields)
-        number += 1
-    if number > 1:  # what one part's cuts bring together may be another's phrase
-        for part in parts(benchmark, most):
-            docs = docs.mapInArrow(run_with(part), fields)
-    return docs
+    def round_of(rows: DataFrame) -> tuple[DataFrame, bool]:
+        """``rows`` cut once by all parts, with marks on what was cut; by a single part until none is left."""
+        rows, number = rows.select(*columns, F.expr("CAST(array() AS array<int>)").alias(marks)), 0
+        found = parts(benchmark, most)
+        part = next(found, None)
+        while part:
+            after = next(found, None)
+            rows, number, part = rows.mapInArrow(run_with(part, number == 0 and after is None, after is None), rows.schema), number + 1, after
+        return rows, number > 1
+
+    rows, more = round_of(docs)
+    if more:
+        rows = checkpointed(rows)
+        ready, todo = rows.filter(F.size(marks) == 0), rows.filter(F.size(marks) > 0)
+        while not todo.isEmpty():
+            rows = checkpointed(round_of(todo)[0])
+            ready, todo = ready.union(rows.filter(F.size(marks) == 0)), rows.filter(F.size(marks) > 0)
+        rows = ready
+    return rows.select(columns)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

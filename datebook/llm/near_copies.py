@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies: SimHash links and, beyond their reach, the Jaccard similarity of word shingles.
+
+:func:`keep_one_of_similar` joins the components of two kinds of links.  Those of SimHash, by deletion
+variants, are all pairs within two bits over the same shingles.  At a similarity of 0.8 fingerprints differ
+in ten of 64 bits on average, too many for variants to index, so the pairs further apart come from here.
 
 A document is the set of the XXH64 hashes of its word shingles.  Equal sets fold into one node.  Nodes
 that share all ``ROWS`` minima of one of ``BANDS`` bands are candidates: a pair at similarity s is one
@@ -23,7 +27,7 @@ from xxhash import xxh64_intdigest
 
 from datebook.llm.common import checkpointed, map_rows, space_words
 from datebook.llm.components import connected_components
-from datebook.llm.simhash import keep_least
+from datebook.llm.simhash import keep_least, simhash_components
 
 BANDS, ROWS = 20, 5
 #: Nodes under one key up to which each is held against each.
@@ -144,4 +148,8 @@ def keep_one_of_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8,
 
     Of rows that repeat an id one stays; rows without an id are left alone.
     """
-    return keep_least(docs, similar_components(docs, size, similarity, id_col=id_col, text_col=text_col), id_col)
+    both = [simhash_components(docs, id_col, text_col, size), similar_components(docs, size, similarity, id_col=id_col, text_col=text_col)]
+    links = [checkpointed(c.select(F.col(id_col).alias("a"), F.col("component_id").alias("b")).filter("a <> b").distinct()) for c in both]
+    found = connected_components(links[0].union(links[1])).select(F.col("node").alias(id_col), "component")
+    members = docs.select(F.col(id_col).cast("long")).join(found, id_col, "left").select(id_col, F.coalesce("component", id_col).alias("component_id"))
+    return keep_least(docs, members, id_col)

@@ -6,8 +6,9 @@ bit at most.  Each distinct fingerprint is indexed under both segments, whole an
 left out; fingerprints that meet under a key are verified, and what links is joined into components.
 
 Copies fold into one distinct fingerprint before anything is compared.  A key that many distinct
-fingerprints share is cut again by the halves of the other segment, under the same rule, so no group
-is compared pair by pair and no link is lost.  Links and components stay in Spark.
+fingerprints share is cut again by the halves of the other segment, under the same rule, so no link is
+lost: below ``crowded`` a key's fingerprints are held against each other, above it those that share 47 of
+64 bits, at most 2 ** 18.  Links and components stay in Spark.
 
 Edge cases: null, empty and wordless texts have fingerprint zero and form one component like any
 other; texts of fewer words than a shingle hash as a whole; repeated ids each give a row.

@@ -74,3 +74,17 @@ def test_cut_leaves_no_phrase_and_clean_texts_alone(spark):
     out = {r.doc_id: r for r in decontaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert {i: r.text for i, r in out.items()} == {0: "Before. , after!", 1: " q", 3: "clean text here", 4: None, 5: "", 6: "..."}
     assert out[0].n_chars == len(out[0].text)
+
+
+def test_parts_of_the_benchmark_cut_alike(spark):
+    items, texts = rows()
+    items = items + [(41, "b2 b3"), (42, "a c1 c2 b"), (43, "n1 n2"), (44, "m1 m2")]
+    texts = texts + ["keep a c1 b2 b3 c2 b keep", "n1 m1 n1 n2 m2 n2 end", "m1 n1 m1 n1 n2 m2 n2 m2", "c1 b2 b3 c2"]
+    docs = spark.createDataFrame([(i, t, "x", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, marks string, n_chars long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = {r.doc_id: r for r in decontaminated(docs, bench).collect()}
+    for most in (200, 40):
+        cut = decontaminated(docs, bench, most=most)
+        assert cut.columns == docs.columns and {r.doc_id: r for r in cut.collect()} == whole
+    assert all(not brute(r.text, items)[1] for r in whole.values())
+    assert whole[len(texts) - 4].text == "keep  keep" and whole[len(texts) - 3].text.strip() == "end"

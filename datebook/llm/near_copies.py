@@ -27,7 +27,8 @@ from xxhash import xxh64_intdigest
 
 from datebook.llm.common import checkpointed, map_rows, space_words
 from datebook.llm.components import connected_components
-from datebook.llm.simhash import keep_least, simhash_components
+from datebook.llm.simhash import fingerprints, keep_least
+from datebook.llm.simhash import links as simhash_links
 
 BANDS, ROWS = 20, 5
 #: Nodes under one key up to which each is held against each.
@@ -148,8 +149,10 @@ def keep_one_of_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8,
 
     Of rows that repeat an id one stays; rows without an id are left alone.
     """
-    both = [simhash_components(docs, id_col, text_col, size), similar_components(docs, size, similarity, id_col=id_col, text_col=text_col)]
-    links = [checkpointed(c.select(F.col(id_col).alias("a"), F.col("component_id").alias("b")).filter("a <> b").distinct()) for c in both]
-    found = connected_components(links[0].union(links[1])).select(F.col("node").alias(id_col), "component")
+    prints = checkpointed(fingerprints(docs, id_col, text_col, size))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("node")).filter("node IS NOT NULL"))
+    near = similar_components(docs, size, similarity, id_col=id_col, text_col=text_col)
+    edges = simhash_links(nodes).union(prints.join(nodes, "fp").select(F.col(id_col).alias("a"), F.col("node").alias("b"))).union(near.select(F.col(id_col).alias("a"), F.col("component_id").alias("b")))
+    found = connected_components(edges).select(F.col("node").alias(id_col), "component")
     members = docs.select(F.col(id_col).cast("long")).join(found, id_col, "left").select(id_col, F.coalesce("component", id_col).alias("component_id"))
     return keep_least(docs, members, id_col)

@@ -24,14 +24,16 @@ are left out.  Memory of the index grows with the examples' distinct terms.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datebook.llm.common import _parts, alnum_words, crc_fold, map_rows, table
+from datebook.llm.common import _ALNUM, _parts, alnum_words, crc_fold, map_rows, table
 
 BLOCK = 256
 #: Numbers of neighbours to choose from.
@@ -54,21 +56,24 @@ def terms(words: list[bytes]) -> Counter:
     return count
 
 
-class TermIds(dict):
-    """The places in a vocabulary of each word's terms; remembers up to 200,000 words."""
+def known_terms(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place in the vocabulary and frequency of each known term of each text, in this order.
 
-    def __init__(self, vocabulary: dict[bytes, int]):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: bytes) -> list[int]:
-        if len(self) >= 200_000:
-            self.clear()
-        place = self.vocabulary.get
-        self[word] = found = [i for i in (place(word, -1), *(place(b"%d~%s" % (k, word[:k]), -1) for k in STEMS if len(word) > k)) if i >= 0]
-        return found
-
-    def __reduce__(self):
-        return TermIds, (self.vocabulary,)
+    The words of all texts are coded together, so a word's terms are looked up once.
+    """
+    spaced = pa.array([text.encode().translate(_ALNUM) if text else b"" for text in texts], pa.string())
+    lists = pc.split_pattern(spaced, " ")
+    coded, place = lists.flatten().dictionary_encode(), vocabulary.get
+    words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    found = [[i for i in (place(w, -1), *(place(b"%d~%s" % (k, w[:k]), -1) for k in STEMS if len(w) > k)) if i >= 0] if w else [] for w in words]
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+    flat = np.fromiter(chain.from_iterable(found), np.int64, int(ends[-1]) if len(ends) else 0)
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    pair, n = np.unique(owner * max(1, len(words)) + coded.indices.to_numpy(), return_counts=True)
+    word = pair % max(1, len(words))
+    at, by = _ranges((ends - np.diff(ends, prepend=0))[word], ends[word])
+    pair, back = np.unique((pair // max(1, len(words)))[by] * max(1, len(vocabulary)) + flat[at], return_inverse=True)
+    return pair // max(1, len(vocabulary)), pair % max(1, len(vocabulary)), np.bincount(back, n[by], len(pair))
 
 
 @dataclass
@@ -106,19 +111,18 @@ class NearestExamples:
         #: A row for each other term and block that holds it: the block, the greatest weight, the postings' start.
         self.pairs = (block[first], np.maximum.reduceat(self.thin_weights, first) if len(first) else self.thin_weights, np.append(first, len(term)))
         self.pair_offsets = np.searchsorted(term[first], np.arange(len(size) + 1))
-        self.term_ids = TermIds(self.vocabulary)
-
-    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list[int] = []
-        lengths, counts = [], Counter(words)
-        for w in counts:
-            found = self.term_ids[w]
-            ids += found
-            lengths.append(len(found))
-        at, back = np.unique(np.array(ids, np.int64), return_inverse=True)
-        tf = np.bincount(back, np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), lengths), len(at))
-        weight = (1 + np.log(np.maximum(tf, 1))) * self.idf[at]
-        return at, weight / max(float(np.sqrt((weight**2).sum())), 1e-12)
+
+    def __reduce__(self):
+        # What __post_init__ derives is made again and doesn't travel.
+        return NearestExamples, tuple(getattr(self, f.name) for f in fields(self))
+
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each text's terms and their weights."""
+        text, term, n = known_terms(texts, self.vocabulary)
+        weight = (1 + np.log(n)) * self.idf[term]
+        weight /= np.maximum(np.sqrt(np.bincount(text, weight**2, len(texts))), 1e-12)[text]
+        ends = np.searchsorted(text, np.arange(1, len(texts) + 1))
+        return [(term[a:b], weight[a:b]) for a, b in zip(np.append(0, ends), ends)]
 
     def neighbours(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each vector, cosines and places of the k examples of the highest positive cosine, best first."""
@@ -172,7 +176,7 @@ class NearestExamples:
 
     def of(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """Each text's score and its neighbours."""
-        return [(self.score(self.vote(*best)), *best) for best in self.neighbours([self.vector(alnum_words(t)) for t in texts])]
+        return [(self.score(self.vote(*best)), *best) for best in self.neighbours(self.vectors(texts))]
 
     def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Choose k and fit the curve by leave-one-out votes, the classes weighted as they are in the labels."""
@@ -242,7 +246,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000) -> NearestExamples
     names, example = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
     toxic = np.zeros(len(names), bool)
     toxic[example] = rows["toxic"].to_numpy()
-    term, weight = keys.indices.to_numpy().astype(np.int64), idf[keys.indices.to_numpy()] * (1 + np.log(np.maximum(rows["tf"].to_numpy(), 1)))
+    term, tf = keys.indices.to_numpy().copy(), rows["tf"].to_numpy().copy()
+    del rows, keys
+    pa.default_memory_pool().release_unused()
+    weight = (idf[term] * (1 + np.log(np.maximum(tf, 1)))).astype(np.float32)
     weight /= np.maximum(np.sqrt(np.bincount(example, weight**2, len(names))), 1e-12)[example]
     place = np.empty(len(names), np.int64)
     place[_alike(example, term, weight, len(names), len(idf))] = np.arange(len(names))
@@ -277,12 +284,10 @@ def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[i
     """The number of all documents, and of those that hold each term."""
 
     def work(slices):
-        term_ids = TermIds(vocabulary)
         count, seen = np.zeros(len(vocabulary), np.int64), 0
         for (texts,) in slices:
             seen += len(texts)
-            for text in texts:
-                count[list({i for w in set(alnum_words(text)) for i in term_ids[w]})] += 1
+            count += np.bincount(known_terms(texts, vocabulary)[1], minlength=len(vocabulary))
         some = np.flatnonzero(count)
         yield [np.append(-1, some), np.append(seen, count[some])]
 

@@ -112,17 +112,14 @@ def similar_links(shared: DataFrame, sets: DataFrame, similarity: float, few: in
     if many.isEmpty():
         return links
 
-    def held() -> DataFrame:
-        found = connected_components(links)
-        return checkpointed(many.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-
     turn, more = 0, True
     while more:
-        rows = held()
+        # At first every node stands alone; the links between few are as good found later.
+        rows = checkpointed(many.join(connected_components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))) if turn else many.withColumn("component", F.col("node"))
         pivot = rows.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("p"))
         pairs = rows.join(pivot, "key").filter("component <> p.component").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
         new, turn = checkpointed(_linked(pairs, sets, similarity)), turn + 1
-        more = not new.isEmpty()
+        more = turn == 1 or not new.isEmpty()
         links = checkpointed(links.union(new)) if more else links
     largest = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     rest = rows.join(largest, "key").filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("own"))
@@ -130,18 +127,29 @@ def similar_links(shared: DataFrame, sets: DataFrame, similarity: float, few: in
     return checkpointed(links.union(_linked(pairs, sets, similarity)))
 
 
-def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, few: int = FEW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, component_id`` for every row; the component is the least id that links reach."""
+def similar_edges(docs: DataFrame, size: int = 5, similarity: float = 0.8, few: int = FEW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links ``a, b`` between ids: of similar texts, and of each text with the least id of an equal set."""
     prints = checkpointed(_prints(docs, id_col, text_col, size))
     nodes = prints.groupBy("node").agg(F.min(id_col).alias(id_col), F.first("keys").alias("keys")).filter(F.col(id_col).isNotNull())
     keyed = checkpointed(nodes.select(id_col, "node", F.posexplode("keys").alias("band", "key")).select(id_col, "node", F.xxhash64("band", "key").alias("key")))
     shared = checkpointed(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key"))
+    names = checkpointed(nodes.select("node", id_col))
     sets = _sets(docs, shared.select(id_col).distinct(), id_col, text_col, size)
-    found = checkpointed(connected_components(similar_links(shared.drop(id_col), sets, similarity, few)))
-    least = nodes.join(found, "node").groupBy("component").agg(F.min(id_col).alias("component_id"))
-    linked = found.join(least, "component").select("node", "component_id")
-    named = nodes.select("node", id_col).join(linked, "node", "left").select("node", F.coalesce("component_id", id_col).alias("component_id"))
-    return prints.select(id_col, "node").join(named, "node").select(id_col, "component_id")
+    found = similar_links(shared.drop(id_col), sets, similarity, few)
+    a, b = names.select(F.col("node").alias("a"), F.col(id_col).alias("id_a")), names.select(F.col("node").alias("b"), F.col(id_col).alias("id_b"))
+    far = found.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return far.union(prints.select(F.col(id_col).alias("a"), "node").join(names, "node").select("a", F.col(id_col).alias("b")).filter("a <> b"))
+
+
+def _members(docs: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """``id_col, component_id`` for every row; the component is the least id that links reach."""
+    found = connected_components(edges).select(F.col("node").alias(id_col), "component")
+    return docs.select(F.col(id_col).cast("long")).join(found, id_col, "left").select(id_col, F.coalesce("component", id_col).alias("component_id"))
+
+
+def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, few: int = FEW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, component_id`` by the links of :func:`similar_edges` alone."""
+    return _members(docs, similar_edges(docs, size, similarity, few, id_col, text_col), id_col)
 
 
 def keep_one_of_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,8 +159,6 @@ def keep_one_of_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8,
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, size))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("node")).filter("node IS NOT NULL"))
-    near = similar_components(docs, size, similarity, id_col=id_col, text_col=text_col)
-    edges = simhash_links(nodes).union(prints.join(nodes, "fp").select(F.col(id_col).alias("a"), F.col("node").alias("b"))).union(near.select(F.col(id_col).alias("a"), F.col("component_id").alias("b")))
-    found = connected_components(edges).select(F.col("node").alias(id_col), "component")
-    members = docs.select(F.col(id_col).cast("long")).join(found, id_col, "left").select(id_col, F.coalesce("component", id_col).alias("component_id"))
-    return keep_least(docs, members, id_col)
+    copies = prints.join(nodes, "fp").select(F.col(id_col).alias("a"), F.col("node").alias("b"))
+    edges = simhash_links(nodes).union(copies).union(similar_edges(docs, size, similarity, id_col=id_col, text_col=text_col))
+    return keep_least(docs, _members(docs, edges, id_col), id_col)

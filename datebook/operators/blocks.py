@@ -125,7 +125,8 @@ def with_blocks(df: DataFrame, text: Column, out: str = "blocks") -> DataFrame:
 
 def block_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id_col, idx, content, score`` of each block."""
-    rows = with_blocks(df.select(id_col, text_col), F.col(text_col)).select(id_col, F.posexplode("blocks").alias("idx", "content"))
+    # An outer explode: for an inner one Spark infers a filter that would compute all blocks once more.
+    rows = with_blocks(df.select(id_col, text_col), F.col(text_col)).select(id_col, F.posexplode_outer("blocks").alias("idx", "content")).filter("idx IS NOT NULL")
     return rows.withColumn("score", signals.score_block(F.col("content")))
 
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from datebook.functions import signals
 from datebook.operators.blocks import block_rows, condense, with_blocks, with_candidates
-from datebook.plans.derived import SIGNAL_DOCS_SQL, signal_docs, table
+from datebook.plans.derived import SIGNAL_DOCS_SQL, signal_docs, spread, table
 
 #: Characters that the selection queries leave of each text.
 BUDGET = 3000
 
 
 def block_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_blocks(signal_docs(spark, sf_dir), F.col("text")).select("lang", "source", F.explode("blocks").alias("content"))
+    rows = with_blocks(spread(signal_docs(spark, sf_dir)), F.col("text")).select("lang", "source", F.explode_outer("blocks").alias("content")).filter("content IS NOT NULL")
     rows = rows.withColumn("score", signals.score_block(F.col("content")))
     noise = signals.is_noise(F.col("content"), F.col("score"))
     return rows.groupBy("lang", "source").agg(
@@ -23,27 +23,22 @@ def block_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noise_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = block_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = block_rows(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
     return rows.filter(signals.is_noise(F.col("content"), F.col("score"))).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("score").cast("long").alias("score"), "content")
 
 
 def _priorities(docs: DataFrame) -> DataFrame:
     rows = with_candidates(with_blocks(docs, F.col("text")))
-    rows = rows.select("doc_id", F.posexplode(F.arrays_zip("priority", "scores")).alias("idx", "x"))
+    rows = rows.select("doc_id", F.posexplode_outer(F.arrays_zip("priority", "scores")).alias("idx", "x"))
     return rows.filter("x.priority IS NOT NULL").select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("x.scores").cast("long").alias("score"), F.col("x.priority").cast("long").alias("priority"))
 
 
 def candidate_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six sevenths of the documents, as its SQL has it; ``candidate_priority_all`` has all."""
-    return _priorities(signal_docs(spark, sf_dir).filter("doc_id % 7 <> 0"))
-
-
-def candidate_priority_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _priorities(signal_docs(spark, sf_dir))
+    return _priorities(spread(signal_docs(spark, sf_dir)))
 
 
 def context_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return condense(signal_docs(spark, sf_dir), "text", BUDGET).select("doc_id", "condensed", F.length("condensed").cast("long").alias("chars"))
+    return condense(spread(signal_docs(spark, sf_dir)), "text", BUDGET).select("doc_id", "condensed", F.length("condensed").cast("long").alias("chars"))
 
 
 _MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?"
@@ -103,7 +98,7 @@ AND NOT regexp_matches(c, '(?i)^subscribe\\s+to\\s+.*\\b(?:calendar|events?|mail
 AND {_WORDS} BETWEEN 1 AND 28 AND regexp_matches(c, '[A-Za-z]') AND (NOT regexp_matches(c, '\\.$') OR {_WORDS} <= 4 OR {_WORDS} <= 12 AND len(list_filter(regexp_split_to_array(c, '\\s+'), lambda x: regexp_matches(x, '^[A-Z][A-Za-z0-9''.-]*\\.?$'))) >= ceil({_WORDS} * 0.6)))"""
 _BRIDGE = f"(length(c) <= 80 AND {_COMPACT_LINE} AND NOT regexp_matches(c, '[.!?]$') AND NOT {_has(_COMPACT)} AND {_WORDS} BETWEEN 1 AND 6 AND regexp_matches(c, '[A-Za-z]'))"
 
-CANDIDATE_SQL = f"""WITH {SIGNAL_DOCS_SQL}, picked AS (SELECT * FROM signal_docs WHERE doc_id % 7 <> 0), {_blocks_sql('picked')},
+CANDIDATE_SQL = f"""WITH {SIGNAL_DOCS_SQL}, {_blocks_sql('signal_docs')},
 kinds AS (SELECT doc_id, idx, score, length(c) AS n, {_NOISY} AS noise, {_TITLE} AS title, {_BRIDGE} AS bridge, regexp_matches(c, '(?i)^{_MONTH}$') AS month, regexp_matches(c, '(?i)^{_DAY}(?:,?\\s*\\d{{4}})?$') AS day FROM scored),
 near AS (SELECT *, lead(day, 1, false) OVER w AS day1, lead(bridge, 1, false) OVER w AS bridge1, month AND lead(day, 1, false) OVER w OR day AND lead(month, 1, false) OVER w AS pair,
   {', '.join(f"CASE WHEN {f} >= 8 THEN {f} END AS h{n}" for n, f in ((0, 'score'), (1, 'lead(score, 1) OVER w'), (2, 'lead(score, 2) OVER w'), (3, 'lead(score, 3) OVER w'), ('m1', 'lag(score, 1) OVER w'), ('m2', 'lag(score, 2) OVER w')))} FROM kinds WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
@@ -113,12 +108,10 @@ proposed AS (SELECT doc_id, idx, score, greatest(
     CASE WHEN pair OR p1 THEN 16 END, CASE WHEN p2 THEN 15 END, CASE WHEN p3 THEN 14 END, CASE WHEN p4 THEN 13 END, CASE WHEN idx < 18 THEN CASE WHEN score > 0 OR idx < 3 AND n <= 800 THEN 44 ELSE 4 END END) END,
   CASE WHEN title THEN h1 + 9 END, CASE WHEN title AND bridge1 THEN h2 + 9 END, CASE WHEN title AND n1 THEN 17 END, CASE WHEN title AND bridge1 AND n2 THEN 17 END) AS priority FROM paired)
 SELECT doc_id, idx, score, CAST(priority AS BIGINT) AS priority FROM proposed WHERE priority IS NOT NULL"""
-CANDIDATE_ALL_SQL = CANDIDATE_SQL.replace(" WHERE doc_id % 7 <> 0", "")
 
 QUERIES = {
     "block_scores": (block_scores, BLOCK_SCORES_SQL),
     "noise_blocks": (noise_blocks, NOISE_SQL),
     "candidate_priority": (candidate_priority, CANDIDATE_SQL),
-    "candidate_priority_all": (candidate_priority_all, CANDIDATE_ALL_SQL),
     "context_select": (context_select, None),
 }

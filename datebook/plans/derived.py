@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores: dealt out anew only where its scan has fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Blocks before the text of a document, by its id modulo their number.
 LEADS = [
     "Jazz Night\n\nFriday, March 3, 2026 7:30 PM\n\nRoom 5, Main Street",

@@ -74,14 +74,20 @@ SELECT pos, coalesce(strftime(s_at, '%Y-%m-%d'), "startDate") AS "startDate", CA
 CASE WHEN {_zone_sql('"endTime"')} = '{ZONE}' THEN coalesce("endDate", "startDate") ELSE coalesce(strftime(e_at, '%Y-%m-%d'), "endDate") END AS "endDate", CASE WHEN "endTime" IS NOT NULL THEN coalesce(strftime(e_at, '%H:%M'), {_clean_sql('"endTime"')}) END AS "endTime" FROM moved"""
 
 
+#: Added to the place of an event that stands a second time.
+AGAIN = 1_000_000_000
+
+
 def dedupe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user once a day and title: the times are left out to make keys meet."""
-    rows = cal_events(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("startTime", "endTime", "endDate", "description")})
-    return events.dedupe_events(rows, ["user_id"]).select("user_id", "pos", "title", "startDate", "location")
+    """Each event twice, the second time in other case and between blanks; the whole key is compared."""
+    rows = cal_events(spark, sf_dir)
+    again = rows.withColumns({"pos": F.col("pos") + AGAIN, "title": F.concat(F.lit("  "), F.upper("title")), "location": F.concat(F.upper("location"), F.lit(" "))})
+    return events.dedupe_events(rows.union(again), ["user_id"]).select("user_id", "pos", "title", "startDate", "startTime", "endDate", "endTime", "location")
 
 
-DEDUPE_SQL = f"""WITH {CAL_EVENTS_SQL} SELECT user_id, pos, title, "startDate", location FROM cal_events
-QUALIFY row_number() OVER (PARTITION BY user_id, lower(trim(title)), "startDate", lower(trim(coalesce(location, ''))) ORDER BY pos) = 1"""
+DEDUPE_SQL = f"""WITH {CAL_EVENTS_SQL}, twice AS (SELECT user_id, pos, title, "startDate", "startTime", "endDate", "endTime", location FROM cal_events
+UNION ALL SELECT user_id, pos + {AGAIN}, '  ' || upper(title), "startDate", "startTime", "endDate", "endTime", upper(location) || ' ' FROM cal_events)
+SELECT * FROM twice QUALIFY row_number() OVER (PARTITION BY user_id, lower(trim(title)), "startDate", coalesce("startTime", ''), coalesce("endDate", ''), coalesce("endTime", ''), lower(trim(coalesce(location, ''))) ORDER BY pos) = 1"""
 
 
 def past_split(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read
 again as the next one's ``docs``.  All but the last keep the columns of ``documents``.
+
+Edge cases: null, empty and very short texts score as clean of toxicity and fail the quality rules; of rows that
+repeat an id or a text one stays; a document that is nothing but benchmark words goes; without labels no
+document is toxic unless the prior is; empty tables give no rows; further columns pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose 5-word shingles are alike by 0.8 or more the document of the least id stays."""
+    """Of each group of texts within two SimHash bits, or alike by 0.8 or more in 5-word shingles, the document of the least id stays."""
     return near_copies.keep_one_of_similar(docs)
 
 

@@ -96,9 +96,10 @@ def places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]
     joined, found = b" " + b" ".join(words) + b" ", []
     for phrase, label in phrases.items():
         sought = b" " + phrase.encode() + b" "
-        at = joined.find(sought)
+        word, last, at = 0, 0, joined.find(sought)
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            word, last = word + joined.count(b" ", last, at), at
+            found.append((word, label))
             at = joined.find(sought, at + 1)
     return sorted(found)
 

@@ -54,3 +54,12 @@ def test_rows(spark):
     assert [(m.label, m.errors) for m in rows[4].matches] == [("apache-2.0", 2)]
     assert not rows[5].matches and not rows[0].matches
     assert license_scan(docs.limit(0)).count() == 0
+
+
+def test_places_of_many_phrases_count_on():
+    from datebook.llm.license_scan import places
+
+    words = [b"x", b"a", b"a", b"a", b"b"] * 5000
+    want = [(i, "aa") for i in range(len(words) - 1) if words[i : i + 2] == [b"a", b"a"]] + [(i, "ab") for i in range(len(words) - 1) if words[i : i + 2] == [b"a", b"b"]]
+    assert places(words, {"a a": "aa", "a b": "ab"}) == sorted(want)
+    assert places([], {"a": "x"}) == [] and places([b"a"], {"a": "x"}) == [(0, "x")]

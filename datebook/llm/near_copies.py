@@ -9,10 +9,16 @@ that share all ``ROWS`` minima of one of ``BANDS`` bands are candidates: a pair
 with a chance of ``1 - (1 - s**ROWS)**BANDS``, 0.9996 at 0.8.  Only pairs whose whole sets reach the
 similarity link, and what links is joined into components.
 
-A band's key that many nodes share holds a large group of near copies.  Its nodes are first held
-against one of them, the pivot; round by round those that are still in other components than the
-pivot of the round are held against it, until a round links nothing.  Then those outside the key's
-largest component are held against all nodes of the other components, so no candidate is left out.
+Sets of sizes further apart than the similarity allows can't link; sizes are compared before any set is
+fetched.
+
+A band's key that many nodes share holds a large group of near copies, or a passage of many texts.  Its
+nodes are first held against one of them for each class of sizes, the pivot; round by round those that are
+still in other components than the pivot of the round are held against it, as long as a round links
+one of ten pairs.  What is left outside the key's largest component is then searched exactly, by prefixes:
+with hashes ordered from rare to common, two similar sets share one of their first ``n - ceil(s * n) + 1``.
+Hashes that no other of these sets has need no partner, so texts that share a mere passage drop out at once;
+a pair goes on to its whole sets only if it shares as many of its first hashes as the similarity asks for.
 
 Edge cases: null, empty and wordless texts have the empty set and are equal; texts of fewer words than
 a shingle are one shingle; repeated ids each give a row, rows without an id are left alone.
@@ -69,7 +75,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``id_col``, ``node`` (the set's own hash) and ``keys``, one for each band."""
+    """``id_col``, ``node`` (the set's own hash), ``n`` (its size) and ``keys``, one for each band."""
 
     def work(slices):
         for ids, texts in slices:
@@ -79,9 +85,9 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
             if some:
                 for i, row in zip(some, band_keys([sets[i] for i in some]).view(np.int64)):
                     keys[i] = row
-            yield [ids, nodes, keys]
+            yield [ids, nodes, [len(s) for s in sets], keys]
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), text_col), work, f"{id_col} long, node long, keys array<long>", 200)
+    return map_rows(docs.select(F.col(id_col).cast("long"), text_col), work, f"{id_col} long, node long, n long, keys array<long>", 200)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -100,38 +106,72 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) whose sets are similar enough."""
     a, b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    bounded = F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y"))
-    return pairs.join(a, "a").join(b, "b").filter(bounded).filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def _sized(similarity: float):
+    """Whether the sizes ``n_a`` and ``n_b`` allow the similarity."""
+    return F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+
+
+def _by_prefixes(rows: DataFrame, rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of a node of ``rest`` and one of ``rows`` (``node, n, component``) outside its component.
+
+    Every pair that is similar enough is among them.
+    """
+    hashes = checkpointed(rows.join(sets, "node").select("node", "n", F.explode("hashes").alias("hash")))
+    common = hashes.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1")
+    ordered = hashes.join(common, "hash").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("found"))
+    # The hashes that the set alone has come first in its prefix; the little taken off guards against rounding up.
+    length = (F.size("found") - F.ceil(similarity * F.col("n") - 1e-6) + 1).cast("int")
+    marked = rows.join(rest.withColumn("apart", F.lit(True)), "node", "left")
+    firsts = checkpointed(ordered.filter(length > 0).select("node", F.explode(F.slice("found", F.lit(1), length)).alias("f")).select("node", "f.hash").join(marked, "node"))
+    left = firsts.filter("apart").select("hash", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("own"))
+    right = firsts.select("hash", F.col("node").alias("b"), F.col("n").alias("n_b"), "component", "apart")
+    met = left.join(right, "hash").filter("own <> component AND (a < b OR apart IS NULL)").filter(_sized(similarity))
+    # What two sets share lies in both prefixes, or behind the one that ends first.
+    behind = F.ceil(similarity * F.greatest("n_a", "n_b") - 1e-6) - 1
+    enough = F.col("both") + behind >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    return met.groupBy("a", "b").agg(F.count("*").alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).filter(enough).select("a", "b")
 
 
 def similar_links(shared: DataFrame, sets: DataFrame, similarity: float, few: int = FEW) -> DataFrame:
-    """Links ``a, b`` among nodes that meet under a key of ``shared`` (``key``, ``node``, ``m`` nodes of the key)."""
-    left, right = shared.filter(F.col("m") <= few).select("key", F.col("node").alias("a")), shared.select("key", F.col("node").alias("b"))
-    links = checkpointed(_linked(left.join(right, "key").filter("a < b").select("a", "b").distinct(), sets, similarity))
-    many = shared.filter(F.col("m") > few).select("key", "node")
+    """Links ``a, b`` among nodes that meet under a key of ``shared`` (``key``, ``node``, size ``n``, ``m`` nodes of the key)."""
+    small = shared.filter(F.col("m") <= few)
+    left, right = (small.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    alike = left.join(right, "key").filter("a < b").filter(_sized(similarity)).select("a", "b").distinct()
+    links = checkpointed(_linked(alike, sets, similarity))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity)))
+    many = shared.filter(F.col("m") > few).select("key", "node", "n", size_class.alias("class"))
     if many.isEmpty():
         return links
 
     turn, more = 0, True
     while more:
         # At first every node stands alone; the links between few are as good found later.
-        rows = checkpointed(many.join(connected_components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))) if turn else many.withColumn("component", F.col("node"))
-        pivot = rows.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("p"))
-        pairs = rows.join(pivot, "key").filter("component <> p.component").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        rows = checkpointed(_named(many, links)) if turn else many.withColumn("component", F.col("node"))
+        pivot = rows.groupBy("key", "class").agg(F.min_by(F.struct("node", "component", "n"), F.xxhash64("node", F.lit(turn))).alias("p"))
+        held = rows.join(pivot, ["key", "class"]).filter("component <> p.component").select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("n_a"), F.col("n").alias("n_b"))
+        pairs = checkpointed(held.filter(_sized(similarity)).select("a", "b").distinct())
         new, turn = checkpointed(_linked(pairs, sets, similarity)), turn + 1
-        more = turn == 1 or not new.isEmpty()
-        links = checkpointed(links.union(new)) if more else links
-    largest = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    rest = rows.join(largest, "key").filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("own"))
-    pairs = rest.join(rows.withColumnRenamed("node", "b"), "key").filter("own <> component").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links, more = checkpointed(links.union(new)), 10 * new.count() >= pairs.count() > 0
+    rows = checkpointed(_named(many, links))
+    largest = rows.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    rest = rows.join(largest, "key").filter("component <> main").select("node").distinct()
+    pairs = _by_prefixes(rows.select("node", "n", "component").distinct(), rest, sets, similarity)
     return checkpointed(links.union(_linked(pairs, sets, similarity)))
 
 
+def _named(many: DataFrame, links: DataFrame) -> DataFrame:
+    """``many`` with the component of each node, its own where nothing links it."""
+    return many.join(connected_components(links), "node", "left").select(*many.columns, F.coalesce("component", "node").alias("component"))
+
+
 def similar_edges(docs: DataFrame, size: int = 5, similarity: float = 0.8, few: int = FEW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links ``a, b`` between ids: of similar texts, and of each text with the least id of an equal set."""
     prints = checkpointed(_prints(docs, id_col, text_col, size))
-    nodes = prints.groupBy("node").agg(F.min(id_col).alias(id_col), F.first("keys").alias("keys")).filter(F.col(id_col).isNotNull())
-    keyed = checkpointed(nodes.select(id_col, "node", F.posexplode("keys").alias("band", "key")).select(id_col, "node", F.xxhash64("band", "key").alias("key")))
+    nodes = prints.groupBy("node").agg(F.min(id_col).alias(id_col), F.first("n").alias("n"), F.first("keys").alias("keys")).filter(F.col(id_col).isNotNull())
+    keyed = checkpointed(nodes.select(id_col, "node", "n", F.posexplode("keys").alias("band", "key")).select(id_col, "node", "n", F.xxhash64("band", "key").alias("key")))
     shared = checkpointed(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key"))
     names = checkpointed(nodes.select("node", id_col))
     sets = _sets(docs, shared.select(id_col).distinct(), id_col, text_col, size)

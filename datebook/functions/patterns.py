@@ -31,6 +31,9 @@ SIGNAL_CAPS = {"date": 16, "time": 12, "detail": 8}
 # Fixed value: what stands before a shortened text.
 TRUNCATION_NOTICE = "[Context shortened: source page exceeded the scan budget. Some events or details may be omitted.]"
 
+# Names of the months.
+MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
 # Dates and times.
 MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?"
 DAY = r"[0-9]{1,2}(?:st|nd|rd|th)?"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from datebook.operators import access, audit
 from datebook.operators.html import parsed_page
 from datebook.operators.source_choice import preprocess_pages
-from datebook.plans.derived import table
+from datebook.plans.derived import spread, table
 
 
 def _tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +39,27 @@ coalesce({_REASON_SQL}, CASE WHEN message LIKE 'Cannot access%' THEN '{access.PR
 
 
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", parsed_page(F.col("html")).alias("page")).select("page_id", "page.title", "page.markdown", F.length("page.markdown").cast("long").alias("chars"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", parsed_page(F.col("html")).alias("page")).select("page_id", "page.title", "page.markdown", F.length("page.markdown").cast("long").alias("chars"))
+
+
+def _table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose body starts with a table: one with a head, one without and of 40 long rows, or a head alone."""
+    n = F.col("page_id")
+    head = "<table><thead><tr><th>Name</th><th>Day</th></tr></thead>"
+    short = F.concat(F.lit(head + "<tr><td>Show "), n.cast("string"), F.lit("</td><td>Mar "), (n % 28 + 1).cast("string"), F.lit('</td></tr><tr><td>A "b",\nc</td></tr></table>'))
+    row = lambda k: F.concat(F.lit("<tr><td>r"), k.cast("string"), F.lit("</td><td>"), F.repeat(F.lit("x"), F.when(k == 1, 300).otherwise(20)), F.lit("</td></tr>"))
+    long = F.concat(F.lit("<table>"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40)), row), ""), F.lit("</table>"))
+    found = F.when(n % 3 == 0, short).when(n % 3 == 1, long).otherwise(head + "</table>")
+    return table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), found)).alias("html"))
 
 
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each table of a page that has a header and a body."""
-    return table(spark, sf_dir, "pages").select("page_id", parsed_page(F.col("html")).alias("page")).select("page_id", F.posexplode("page.tables").alias("idx", "csv"))
+    """A row for each table of a page that has a header and a body; the tables are made, as the pages have none."""
+    return spread(_table_pages(spark, sf_dir)).select("page_id", parsed_page(F.col("html")).alias("page")).select("page_id", F.posexplode("page.tables").alias("idx", "csv"))
+
+
+PAGE_TABLES_SQL = """WITH cells AS (SELECT '"r0","' || repeat('x', 20) || '"' || chr(10) || string_agg('"r' || k || '","' || CASE k WHEN 1 THEN repeat('x', 237) || '...' ELSE repeat('x', 20) END || '"', chr(10) ORDER BY k) AS csv FROM range(1, 31) t(k))
+SELECT page_id, CAST(0 AS INTEGER) AS idx, CASE page_id % 3 WHEN 0 THEN '"Name","Day"' || chr(10) || '"Show ' || page_id || '","Mar ' || (page_id % 28 + 1) || '"' || chr(10) || '"A ""b"", c",""' ELSE csv END AS csv FROM pages, cells WHERE page_id % 3 <> 2 AND contains(html, '<body>')"""
 
 
 def page_model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +97,6 @@ def page_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "tab_access": (tab_access, TAB_ACCESS_SQL),
     "page_markdown": (page_markdown, None),
-    "page_tables": (page_tables, None),
+    "page_tables": (page_tables, PAGE_TABLES_SQL),
     "fixture_integrity": (fixture_integrity, FIXTURE_SQL),
 }

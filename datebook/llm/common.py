@@ -89,3 +89,15 @@ def pa_schema(schema: str) -> pa.Schema:
 def crc_fold(column) -> "F.Column":
     """crc32 of an id as text, modulo 3."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
+
+
+def grid_join(blocks: DataFrame, sides: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Every row of ``blocks`` with every row of ``sides`` of equal ``on``; both hold packed arrays.
+
+    ``on`` may have very few values, so each block is dealt a lane and each side stands in all lanes: a hot
+    value is spread over as many tasks as the session has shuffle partitions.
+    """
+    lanes = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.withColumn("lane", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lanes)).cast("int"))
+    spread = sides.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    return dealt.repartition(lanes, *on, "lane").join(spread.repartition(lanes, *on, "lane"), [*on, "lane"], how).drop("lane")

@@ -91,13 +91,17 @@ def crc_fold(column) -> "F.Column":
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
 
 
-def grid_join(blocks: DataFrame, sides: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def grid_join(blocks: DataFrame, sides: DataFrame, on: list[str], how: str = "inner", columns: int = 1) -> DataFrame:
     """Every row of ``blocks`` with every row of ``sides`` of equal ``on``; both hold packed arrays.
 
-    ``on`` may have very few values, so each block is dealt a lane and each side stands in all lanes: a hot
-    value is spread over as many tasks as the session has shuffle partitions.
+    ``on`` may have very few values, so both are dealt over a grid of about as many cells as the session has shuffle
+    partitions: a block gets one of its lanes and stands in all ``columns``, a side gets a column and stands in all lanes.
     """
-    lanes = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.withColumn("lane", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lanes)).cast("int"))
-    spread = sides.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    return dealt.repartition(lanes, *on, "lane").join(spread.repartition(lanes, *on, "lane"), [*on, "lane"], how).drop("lane")
+    cells = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = max(1, -(-cells // columns))
+    dealt = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    keys = [*on, "lane", "column"]
+    left = blocks.withColumn("lane", dealt(lanes)).withColumn("column", every(columns))
+    right = sides.withColumn("column", dealt(columns)).withColumn("lane", every(lanes))
+    return left.repartition(cells, *keys).join(right.repartition(cells, *keys), keys, how).drop("lane", "column")

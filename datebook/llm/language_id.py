@@ -38,6 +38,8 @@ BITS = 17
 EXAMPLES, WINDOWS, SPAN, LENGTH, LONGEST = 400, 6, 12, 36, 64
 #: Word types that a task keeps, words of a chunk.
 KNOWN, CHUNK = 400_000, 64
+#: Parts of the hashes, keys that are broadcast (3 MB).
+PARTS, FEW = 64, 100_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -155,9 +157,12 @@ def marginals(scores: np.ndarray, starts: np.ndarray, moves: np.ndarray, first:
 def _sample(docs: DataFrame, examples: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """``lang, h, words``: windows of the chosen texts, one row a text."""
     rows = docs.filter(f"`{text_col}` IS NOT NULL AND `{lang_col}` IS NOT NULL").select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    ids = checkpointed(rows.select("lang", "h").distinct().withColumn("r", rank).filter(F.col("r") <= examples).drop("r"))
-    chosen = rows.join(ids, ["lang", "h"], "left_semi")
+    # First among the texts of a part of the hashes, so that no task gets more of a frequent language than PARTS * examples.
+    part, rank = F.pmod("h", F.lit(PARTS)), F.row_number()
+    first = rows.select("lang", "h").distinct().withColumn("r", rank.over(Window.partitionBy("lang", part).orderBy("h"))).filter(F.col("r") <= examples).drop("r")
+    ids = checkpointed(first.withColumn("r", rank.over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= examples).drop("r"))
+    # With few languages the keys are few; with very many Spark joins them by a shuffle.
+    chosen = rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, ["lang", "h"], "left_semi")
 
     def work(slices):
         for langs, hashes, texts in slices:

@@ -28,6 +28,16 @@ CSV_MAX_CHARS = 12000
 CELL_CHARS = 240
 SIGNAL_CAPS = {"date": 16, "time": 12, "detail": 8}
 
+# By what lengths and scores the rendered text is preferred to the page's markdown.
+HTML_SCORE = 16
+SOURCE_CHOICE = {
+    "chrome_many": 6, "chrome_share": 0.45, "chrome_some": 2, "chrome_growth": 1.5, "chrome_lead": 8,
+    "details_score": 12, "details_lines": 2, "accordion_chars": 4000, "accordion_growth": 3, "accordion_less": 15,
+    "clusters": 2, "fit_score": 8, "fit_less": 10, "lead_score": 16, "lead_more": 12,
+    "near_limit": 1.35, "near_share": 0.75, "near_score": 16, "near_lead": 12, "sparse_chars": 1200, "sparse_growth": 3,
+    "richer_growth": 1.6, "richer_more": 12, "broader_growth": 2.5, "broader_score": 10, "broader_less": 6, "bulky_growth": 2.5, "bulky_score": 12,
+}
+
 # Fixed value: what stands before a shortened text.
 TRUNCATION_NOTICE = "[Context shortened: source page exceeded the scan budget. Some events or details may be omitted.]"
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from datebook.functions.patterns import MAX_CHARS
 from datebook.functions.text import normalize_search_text, round_number, trim
 from datebook.operators.source_choice import csv_chars
+from datebook.operators.stages import staged
 
 LABEL_FIELDS = ["title", "date", "time", "location"]
 CAPTURED = ["html", "text", "title", "lang", "finalUrl", "capturedAt"]
@@ -84,12 +85,15 @@ def page_audit(fixtures: DataFrame) -> DataFrame:
 
     ``fixtures`` have been preprocessed: ``page, model_input, csv_snippets`` beside the corpus's columns.
     """
+    # The model's input is computed once, and not for each of the columns, anchors and labels that read it.
+    fixtures = staged(fixtures, "model-inputs")
     context = F.concat_ws("\n", F.col("model_input"), F.col("csv_snippets"))
     ratio = lambda a, b: round_number(F.try_divide(a, F.when(b > 0, b)))
     df = fixtures.withColumns({"context": context, "csv_chars": csv_chars(F.col("csv_snippets")), "separators": F.size("csv_snippets"), "markdown_chars": F.length("page.markdown")})
     df = df.withColumn("context_chars", F.length("model_input") + F.col("csv_chars") + F.col("separators"))
     df = df.withColumn("previous_chars", F.when(F.col("markdown_chars") > 0, F.col("markdown_chars") + F.col("csv_chars") + F.col("separators")))
     df = df.withColumns({"text_ratio": ratio(F.col("context_chars"), F.length("text")), "markdown_ratio": ratio(F.col("context_chars"), F.col("markdown_chars")), "previous_ratio": ratio(F.col("context_chars"), F.col("previous_chars")), "_norm": normalize_search_text(F.col("context")), "_anchors": F.col("expectedAnchors")})
+    df = staged(df, "audited-pages")
     anchors = df.select("name", "_norm", F.explode("_anchors").alias("anchor"))
     lost = anchors.filter(~F.contains("_norm", normalize_search_text(F.col("anchor")))).groupBy("name").agg(F.array_sort(F.collect_list("anchor")).alias("missing_anchors"))
     labels = label_rows(df, ["name"], "expectedEvents", "text", "context")

@@ -10,6 +10,7 @@ from datebook.functions import signals
 from datebook.functions.text import line_fingerprint, normalize_model_text
 from datebook.operators.blocks import condense, signal_count, with_blocks
 from datebook.operators.html import parsed_page
+from datebook.operators.stages import staged
 
 
 def quality(x: Column) -> Column:
@@ -29,41 +30,58 @@ def cluster_count(blocks: Column) -> Column:
     return F.aggregate(F.transform(blocks, hit), start, step, lambda s: s["n"])
 
 
-def choose_source(df: DataFrame, text_col: str, markdown_col: str, most: Column | int = P.MAX_CHARS, out: str = "chosen") -> DataFrame:
-    """``df`` with ``out``: the rendered text or the page's markdown, normalised.
-
-    The signals of the choice are named columns below, one projection above the other.
-    """
-    own = [c for c in df.columns if c != out]
+def source_signals(df: DataFrame, text_col: str, markdown_col: str, most: Column | int = P.MAX_CHARS) -> DataFrame:
+    """``df`` with both texts normalised (``_t``, ``_h``) and what the choice is made by: scores, lengths, lines, counts."""
     limit = F.lit(most) if isinstance(most, int) else most
-    df = df.select(*own, normalize_model_text(F.col(text_col)).alias("_t"), normalize_model_text(F.col(markdown_col)).alias("_h"), F.when(limit > 0, limit).otherwise(P.MAX_CHARS).alias("_limit"))
+    df = df.select("*", normalize_model_text(F.col(text_col)).alias("_t"), normalize_model_text(F.col(markdown_col)).alias("_h"), F.when(limit > 0, limit).otherwise(P.MAX_CHARS).alias("_limit"))
     df = df.withColumns({"_ts": quality(F.col("_t")), "_hs": quality(F.col("_h")), "_tl": quality(normalize_model_text(F.substring("_t", 1, 2200))), "_hl": quality(normalize_model_text(F.substring("_h", 1, 2200))), "_tn": F.length("_t"), "_hn": F.length("_h"), "_print": line_fingerprint(F.col("_t"))})
-    t, h, ts, hs, tl, hl, tn, hn, limit = (F.col(f"_{c}") for c in ("t", "h", "ts", "hs", "tl", "hl", "tn", "hn", "limit"))
+    t, h, hs, tn, hn, limit = (F.col(f"_{c}") for c in ("t", "h", "hs", "tn", "hn", "limit"))
     both = (t != "") & (h != "")
-    reduced = both & (tn > limit) & (hn <= limit) & (hs >= 16)
-    df = df.withColumns({"_lines": F.when(both & (hn > tn * 1.1) & ~signals.is_link_heavy(h, tn), signals.detail_lines(h, F.col("_print"))), "_chrome": signals.matches(t, P.DETAIL_CHROME), "_reduced": reduced})
-    df = condense(df.withColumn("_long", F.when(F.col("_reduced"), t)), "_long", limit, "_short")
-    df = with_blocks(df, F.when(F.col("_reduced"), F.col("_short")).otherwise(""), "_tb")
-    df = with_blocks(df, F.when(F.col("_reduced"), h).otherwise(""), "_hb")
-    df = df.withColumns({"_tc": cluster_count(F.col("_tb")), "_hc": cluster_count(F.col("_hb"))})
-    chrome, lines = F.col("_chrome"), F.coalesce("_lines", F.array().cast("array<string>"))
-    looks_like_chrome = ((chrome >= 6) & (hn >= tn * 0.45) & (hs >= 16)) | ((chrome >= 2) & (hn > tn * 1.5) & (hs >= ts + 8))
-    adds_details = F.exists(lines, signals.has_place_detail) & ((hs >= 12) | (F.size(lines) >= 2))
-    accordion = (tn <= 4000) & (hn > tn * 3) & t.rlike(P.COLLAPSED) & (hs >= ts - 15)
-    df = df.withColumn("_collapsed", looks_like_chrome | adds_details | accordion)
-    open_ = ~F.col("_collapsed")
-    html_reduced = F.col("_reduced") & ~((F.col("_tc") >= 2) & (F.col("_tc") > F.col("_hc")))
-    text_wins = (
-        (open_ & (tn <= limit) & (ts >= F.greatest(F.lit(8), hs - 10)))
-        | (open_ & (tn <= hn) & (tl >= 16) & (tl >= hl + 12))
-        | ((tn <= hn) & signals.has_delimited_lead_date(t) & ~signals.has_delimited_lead_date(h))
-        | (open_ & (tn <= limit * 1.35) & (hn >= tn * 0.75) & (ts >= 16) & (tl >= 12))
-        | ((hn < 1200) & (tn > hn * 3) & (ts >= hs))
-        | ((tn > hn * 1.6) & (ts >= hs + 12))
-        | ((tn > hn * 2.5) & (ts >= F.greatest(F.lit(10), hs - 6)))
-        | ((hn > limit) & (hn > tn * 2.5) & (ts >= 12))
-    )
-    return df.select(*own, F.when(h == "", t).when(t == "", h).when(~html_reduced & text_wins, t).otherwise(h).alias(out))
+    lines = F.when(both & (hn > tn * 1.1) & ~signals.is_link_heavy(h, tn), signals.detail_lines(h, F.col("_print")))
+    return df.withColumns({
+        "_lines": F.size(F.coalesce(lines, F.array().cast("array<string>"))), "_place": F.coalesce(F.exists(lines, signals.has_place_detail), F.lit(False)), "_chrome": signals.matches(t, P.DETAIL_CHROME),
+        "_collapsible": t.rlike(P.COLLAPSED), "_dated": signals.has_delimited_lead_date(t) & ~signals.has_delimited_lead_date(h), "_reduced": both & (tn > limit) & (hn <= limit) & (hs >= P.HTML_SCORE),
+    }).drop("_print")
+
+
+def event_clusters(df: DataFrame) -> DataFrame:
+    """``df`` with ``_tc`` and ``_hc``: the events that the condensed text and the markdown still tell, where the text must be reduced.
+
+    Only these rows, of which there are few, are condensed, written and counted.
+    """
+    reduced = condense(df.filter("_reduced"), "_t", F.col("_limit"), "_short")
+    reduced = with_blocks(with_blocks(staged(reduced, "reduced-texts"), F.col("_short"), "_tb"), F.col("_h"), "_hb")
+    counted = reduced.withColumns({"_tc": cluster_count(F.col("_tb")), "_hc": cluster_count(F.col("_hb"))}).drop("_short", "_tb", "_hb")
+    return df.filter("NOT _reduced").withColumns({"_tc": F.lit(0), "_hc": F.lit(0)}).unionByName(staged(counted, "event-clusters"))
+
+
+def text_wins() -> Column:
+    """Whether the rendered text goes to the model, by the columns of :func:`source_signals` and :func:`event_clusters`."""
+    ts, hs, tl, hl, tn, hn, limit = (F.col(f"_{c}") for c in ("ts", "hs", "tl", "hl", "tn", "hn", "limit"))
+    m = P.SOURCE_CHOICE
+    looks_like_chrome = ((F.col("_chrome") >= m["chrome_many"]) & (hn >= tn * m["chrome_share"]) & (hs >= P.HTML_SCORE)) | ((F.col("_chrome") >= m["chrome_some"]) & (hn > tn * m["chrome_growth"]) & (hs >= ts + m["chrome_lead"]))
+    adds_details = F.col("_place") & ((hs >= m["details_score"]) | (F.col("_lines") >= m["details_lines"]))
+    accordion = (tn <= m["accordion_chars"]) & (hn > tn * m["accordion_growth"]) & F.col("_collapsible") & (hs >= ts - m["accordion_less"])
+    opened = ~(looks_like_chrome | adds_details | accordion)
+    reduced = F.col("_reduced") & ~((F.col("_tc") >= m["clusters"]) & (F.col("_tc") > F.col("_hc")))
+    fits = opened & (tn <= limit) & (ts >= F.greatest(F.lit(m["fit_score"]), hs - m["fit_less"]))
+    better_lead = opened & (tn <= hn) & (tl >= m["lead_score"]) & (tl >= hl + m["lead_more"])
+    dated = (tn <= hn) & F.col("_dated")
+    near_budget = opened & (tn <= limit * m["near_limit"]) & (hn >= tn * m["near_share"]) & (ts >= m["near_score"]) & (tl >= m["near_lead"])
+    sparse = (hn < m["sparse_chars"]) & (tn > hn * m["sparse_growth"]) & (ts >= hs)
+    richer = (tn > hn * m["richer_growth"]) & (ts >= hs + m["richer_more"])
+    broader = (tn > hn * m["broader_growth"]) & (ts >= F.greatest(F.lit(m["broader_score"]), hs - m["broader_less"]))
+    bulky = (hn > limit) & (hn > tn * m["bulky_growth"]) & (ts >= m["bulky_score"])
+    return ~reduced & (fits | better_lead | dated | near_budget | sparse | richer | broader | bulky)
+
+
+def choose_source(df: DataFrame, text_col: str, markdown_col: str, most: Column | int = P.MAX_CHARS, out: str = "chosen") -> DataFrame:
+    """``df`` with ``out``: the rendered text or the page's markdown, normalised; stages are written on the way."""
+    own = [c for c in df.columns if c != out]
+    measured = staged(source_signals(df.select(*own), text_col, markdown_col, most), "source-signals")
+    counted = event_clusters(measured)
+    t, h = F.col("_t"), F.col("_h")
+    return counted.select(*own, F.when(h == "", t).when(t == "", h).when(text_wins(), t).otherwise(h).alias(out))
 
 
 def fit_tables(tables: Column, most: int = P.CSV_MAX_CHARS) -> Column:
@@ -99,9 +117,12 @@ def model_input(df: DataFrame, text_col: str, markdown_col: str, most: Column |
 
 
 def preprocess_pages(pages: DataFrame, text_col: str | None = "text", html_col: str = "html") -> DataFrame:
-    """``pages`` with ``page``, ``csv_snippets`` and ``model_input``.  The text defaults to the page's own."""
-    df = pages.withColumn("page", parsed_page(F.col(html_col)))
-    df = df.withColumn("csv_snippets", fit_tables(F.col("page.tables"))).withColumn("_rendered", F.col(text_col) if text_col else F.col("page.text")).withColumn("_markdown", F.col("page.markdown"))
+    """``pages`` with ``page``, ``csv_snippets`` and ``model_input``.  The text defaults to the page's own.
+
+    A page is parsed once, and its parse is written; what the snippets take of the budget the model's input hasn't.
+    """
+    parsed = staged(pages.withColumn("page", parsed_page(F.col(html_col))), "parsed-pages")
+    df = parsed.withColumn("csv_snippets", fit_tables(F.col("page.tables"))).withColumn("_rendered", F.col(text_col) if text_col else F.col("page.text")).withColumn("_markdown", F.col("page.markdown"))
     df = df.withColumn("_room", F.greatest(F.lit(0), F.lit(P.MAX_CHARS) - csv_chars(F.col("csv_snippets")) - F.size("csv_snippets")))
     return model_input(df, "_rendered", "_markdown", F.col("_room")).drop("_rendered", "_markdown", "_room")
 

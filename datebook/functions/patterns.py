@@ -44,6 +44,12 @@ TRUNCATION_NOTICE = "[Context shortened: source page exceeded the scan budget. S
 # Names of the months.
 MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
+# Dates, times and zones in expected events.
+MONTH_NAME = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t|tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+DAY_NUMBER = "[0-9]{1,2}"
+CLOCK = rf"[0-9]{{1,2}}(?:[:.][0-9]{{2}})?{S}*(?:[ap](?:\.?m\.?)?)?"
+ZONE_WORD = rf"(?:{S}*[a-z]{{2,5}})?"
+
 # Dates and times.
 MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\.?"
 DAY = r"[0-9]{1,2}(?:st|nd|rd|th)?"

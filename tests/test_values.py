@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from datebook.functions import judging
-from datebook.functions.text import fixture_file_name, provider_name
+from datebook.functions.text import fixture_file_name, normalize_judge_text, provider_name
 from datebook.functions.times import extract_timezone, format_date_time
 from datebook.operators.access import scan_block_reason
 from datebook.operators.calendar import link_dates
@@ -50,7 +50,7 @@ def test_markdown_and_tables():
 def test_dates_and_times_of_the_judge(spark):
     dates = {"Sept. 5th, 2026": "2026-09-05", "30 feb 2026": None, "31/12/2026": "2026-12-31", "13/13/2026": None, "2026-02-30 or May 1, 2026": None, "june 29, 2026 \u2013 Jul 2, 2026": "2026-06-29", "12026-03-05": None, "": None}
     rows = spark.createDataFrame([(t,) for t in dates] + [(None,)], "t string")
-    got = dict(map(tuple, rows.select("t", judging.date_key(F.col("t"))).collect()))
+    got = dict(map(tuple, rows.withColumn("n", normalize_judge_text(F.col("t"))).select("t", judging.date_key(F.col("n"))).collect()))
     assert got == dates | {None: None}
     ranges = {"7-9 pm": (19 * 60, 21 * 60), "7-9pm": (7 * 60, 21 * 60), "11.30 a.m. to 1 p.m. EST": (690, 780), "12am until 12pm": (0, 720), "10:75 - 11": None, "13 pm - 14 pm": None, "25 - 26": None, "noon": None, "": None}
     rows = spark.createDataFrame([(t,) for t in ranges] + [(None,)], "t string")

@@ -31,6 +31,14 @@ def space_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores before it as it takes to be none of ``taken``, whatever their case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held or any(c.startswith(f"{name.lower()}_") for c in held):
+        name = f"_{name}"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, where unset one in the warehouse."""
     context = spark.sparkContext

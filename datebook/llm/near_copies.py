@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from datebook.llm.common import checkpointed, map_rows, space_words
+from datebook.llm.common import checkpointed, map_rows
 from datebook.llm.components import connected_components
-from datebook.llm.simhash import fingerprints, keep_least
+from datebook.llm.simhash import fingerprints_of, keep_least, shingle_hashes
 from datebook.llm.simhash import links as simhash_links
 
 BANDS, ROWS = 20, 5
@@ -47,15 +47,7 @@ _MIX = _RANDOM.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted, as unsigned 64-bit integers."""
-    words = space_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= size:
-        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip((ends - lengths).tolist(), ends[size - 1 :].tolist())], np.uint64))
+    return np.unique(shingle_hashes(text, size))
 
 
 def node_ids(sets: list[np.ndarray]) -> np.ndarray:
@@ -75,19 +67,20 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``id_col``, ``node`` (the set's own hash), ``n`` (its size) and ``keys``, one for each band."""
+    """``id_col``, ``fp`` (the SimHash fingerprint), ``node`` (the set's own hash), ``n`` (its size) and ``keys``, one for each band."""
 
     def work(slices):
         for ids, texts in slices:
-            sets = [shingle_set(t, size) for t in texts]
-            nodes, keys = node_ids(sets), [np.zeros(0, np.int64)] * len(sets)
+            hashes = [shingle_hashes(t, size) for t in texts]
+            sets = [np.unique(h) for h in hashes]
+            keys = [np.zeros(0, np.int64)] * len(sets)
             some = [i for i, s in enumerate(sets) if len(s)]
             if some:
                 for i, row in zip(some, band_keys([sets[i] for i in some]).view(np.int64)):
                     keys[i] = row
-            yield [ids, nodes, [len(s) for s in sets], keys]
+            yield [ids, fingerprints_of(hashes).view(np.int64), node_ids(sets), [len(s) for s in sets], keys]
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), text_col), work, f"{id_col} long, node long, n long, keys array<long>", 200)
+    return map_rows(docs.select(F.col(id_col).cast("long"), text_col), work, f"{id_col} long, fp long, node long, n int, keys array<long>", 200)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -167,15 +160,17 @@ def _named(many: DataFrame, links: DataFrame) -> DataFrame:
     return many.join(connected_components(links), "node", "left").select(*many.columns, F.coalesce("component", "node").alias("component"))
 
 
-def similar_edges(docs: DataFrame, size: int = 5, similarity: float = 0.8, few: int = FEW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links ``a, b`` between ids: of similar texts, and of each text with the least id of an equal set."""
-    prints = checkpointed(_prints(docs, id_col, text_col, size))
-    nodes = prints.groupBy("node").agg(F.min(id_col).alias(id_col), F.first("n").alias("n"), F.first("keys").alias("keys")).filter(F.col(id_col).isNotNull())
-    keyed = checkpointed(nodes.select(id_col, "node", "n", F.posexplode("keys").alias("band", "key")).select(id_col, "node", "n", F.xxhash64("band", "key").alias("key")))
+def similar_edges(docs: DataFrame, prints: DataFrame, size: int = 5, similarity: float = 0.8, few: int = FEW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links ``a, b`` between ids: of similar texts, and of each text with the least id of an equal set.
+
+    ``prints`` are the :func:`_prints` of ``docs``.  A band's keys are counted before they are written: only those that nodes share are.
+    """
+    nodes = checkpointed(prints.groupBy("node").agg(F.min(id_col).alias(id_col), F.first("n").alias("n"), F.first("keys").alias("keys")).filter(F.col(id_col).isNotNull()))
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("band", "key")).select("node", "n", F.xxhash64("band", "key").alias("key"))
     shared = checkpointed(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key"))
-    names = checkpointed(nodes.select("node", id_col))
-    sets = _sets(docs, shared.select(id_col).distinct(), id_col, text_col, size)
-    found = similar_links(shared.drop(id_col), sets, similarity, few)
+    names = nodes.select("node", id_col)
+    sets = _sets(docs, names.join(shared.select("node"), "node", "left_semi").select(id_col), id_col, text_col, size)
+    found = similar_links(shared, sets, similarity, few)
     a, b = names.select(F.col("node").alias("a"), F.col(id_col).alias("id_a")), names.select(F.col("node").alias("b"), F.col(id_col).alias("id_b"))
     far = found.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return far.union(prints.select(F.col(id_col).alias("a"), "node").join(names, "node").select("a", F.col(id_col).alias("b")).filter("a <> b"))
@@ -189,7 +184,8 @@ def _members(docs: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
 
 def similar_components(docs: DataFrame, size: int = 5, similarity: float = 0.8, few: int = FEW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, component_id`` by the links of :func:`similar_edges` alone."""
-    return _members(docs, similar_edges(docs, size, similarity, few, id_col, text_col), id_col)
+    prints = checkpointed(_prints(docs, id_col, text_col, size))
+    return _members(docs, similar_edges(docs, prints, size, similarity, few, id_col, text_col), id_col)
 
 
 def keep_one_of_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,8 +193,8 @@ def keep_one_of_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8,
 
     Of rows that repeat an id one stays; rows without an id are left alone.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col, size))
+    prints = checkpointed(_prints(docs, id_col, text_col, size))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("node")).filter("node IS NOT NULL"))
-    copies = prints.join(nodes, "fp").select(F.col(id_col).alias("a"), F.col("node").alias("b"))
-    edges = simhash_links(nodes).union(copies).union(similar_edges(docs, size, similarity, id_col=id_col, text_col=text_col))
+    copies = prints.select(id_col, "fp").join(nodes, "fp").select(F.col(id_col).alias("a"), F.col("node").alias("b"))
+    edges = simhash_links(nodes).union(copies).union(similar_edges(docs, prints, size, similarity, id_col=id_col, text_col=text_col))
     return keep_least(docs, _members(docs, edges, id_col), id_col)

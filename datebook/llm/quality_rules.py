@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from datebook.llm.common import checkpointed, table, written
+from datebook.llm.common import checkpointed, free_name, table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -120,13 +120,13 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return best.groupBy("lang", "source").agg(*fences)
 
 
-def judged(rows: DataFrame, fences: DataFrame, q: str = "_q", out: str = "_kept", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judged(rows: DataFrame, fences: DataFrame, q: str = "_q", out: str = "_kept", lang_col: str = "lang", source_col: str = "source", fence: str = "_f") -> DataFrame:
     """``rows`` with boolean ``out``.  The fences are a row per group; Spark broadcasts them only below its threshold."""
-    f = fences.select(F.struct("*").alias("_f"))
-    rate = _rates(F.col(q))
-    fits = (rate["symbols"] <= F.col("_f.symbols")) & (rate["lines"] <= F.col("_f.lines")) & (rate["repeats"] <= F.col("_f.repeats")) & (rate["length"] >= F.col("_f.length_low")) & (rate["length"] <= F.col("_f.length_high"))
-    met = rows.join(f, rows[lang_col].eqNullSafe(F.col("_f.lang")) & rows[source_col].eqNullSafe(F.col("_f.source")), "left")
-    return met.withColumn(out, ~base_failed(F.col(q)) & F.coalesce(fits, F.lit(False))).drop("_f")
+    f = fences.select(F.struct("*").alias(fence))
+    rate, of = _rates(F.col(q)), F.col(fence)
+    fits = (rate["symbols"] <= of["symbols"]) & (rate["lines"] <= of["lines"]) & (rate["repeats"] <= of["repeats"]) & (rate["length"] >= of["length_low"]) & (rate["length"] <= of["length_high"])
+    met = rows.join(f, rows[lang_col].eqNullSafe(of["lang"]) & rows[source_col].eqNullSafe(of["source"]), "left")
+    return met.withColumn(out, ~base_failed(F.col(q)) & F.coalesce(fits, F.lit(False))).drop(fence)
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
@@ -135,8 +135,9 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     The measured rows are written once: the sketches read three of their columns, and a filter over
     written columns cannot be pushed into the measures, which would multiply their expressions.
     """
-    rows = written(measured(docs), "measured")
-    return judged(rows, checkpointed(thresholds(sketches(rows)))).filter("_kept").select(docs.columns)
+    q, kept, fence = (free_name(x, docs.columns) for x in ("_q", "_kept", "_f"))
+    rows = written(measured(docs, out=q), "measured")
+    return judged(rows, checkpointed(thresholds(sketches(rows, q))), q, kept, fence=fence).filter(F.col(kept)).select(docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,28 +26,32 @@ from datebook.llm.common import checkpointed, map_rows, space_words, table
 from datebook.llm.components import connected_components
 
 
-def text_fingerprints(texts: list[str | None], size: int = 3, seed: int = 42) -> np.ndarray:
-    """Fingerprints as unsigned 64-bit integers."""
-    hashes, counts = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        words = space_words(text)
-        if not words:
-            continue
-        joined, n = b" ".join(words), max(1, len(words) - size + 1)
-        counts[i] = n
-        if n == 1:
-            hashes.append(np.array([xxh64_intdigest(joined, seed)], np.uint64))
-        else:
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            ends = np.cumsum(lengths + 1) - 1
-            hashes.append(np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip((ends - lengths).tolist(), ends[size - 1 :].tolist())], np.uint64))
-    out = np.zeros(len(texts), np.uint64)
-    if hashes:
-        some = np.flatnonzero(counts)
+def shingle_hashes(text: str | None, size: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; of fewer words as a whole; of none empty."""
+    words = space_words(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip((ends - lengths).tolist(), ends[size - 1 :].tolist())], np.uint64)
+
+
+def fingerprints_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """Fingerprints of texts by their shingles' hashes, as unsigned 64-bit integers."""
+    counts, out = np.array([len(h) for h in hashes], np.int64), np.zeros(len(hashes), np.uint64)
+    some = np.flatnonzero(counts)
+    if len(some):
         out[some] = _majority(np.concatenate(hashes), counts[some])
     return out
 
 
+def text_fingerprints(texts: list[str | None], size: int = 3, seed: int = 42) -> np.ndarray:
+    return fingerprints_of([shingle_hashes(t, size, seed) for t in texts])
+
+
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each run of ``counts`` hashes, the bits that more than half of them have.
 

@@ -6,8 +6,8 @@ import corpus_pipeline
 from datebook.llm.byte_bpe import load_ranks
 
 from test_decontamination import brute as brute_hits
+from test_near_copies import components
 from test_quality_rules import brute as brute_measures
-from test_simhash import components, fingerprint
 
 
 def test_stages_match_brute_force(spark, tmp_path):
@@ -20,6 +20,9 @@ def test_stages_match_brute_force(spark, tmp_path):
         texts[i] += " vilest foulish vilest grubbing"
     for i in range(1, 60, 6):
         texts[i] = texts[i] + ". " + bench[i % 5][1] + ". " + texts[i + 60][:40]
+    # Copies beyond two bits of any fingerprint, and one that shares 3-word shingles but too few of five.
+    far = lambda t, step: " ".join(word() if k % step == step - 1 else w for k, w in enumerate(t.split()))
+    texts[101], texts[103], texts[104] = far(texts[107], 58), far(texts[107], 59), far(texts[107], 4)
     texts += [texts[1], texts[7], None, "", "same words " * 50, "x" + "#### " * 30, bench[0][1] + " " + bench[1][1]]
     rows = [(i, t, "en", "s" if i % 3 else "t", len(t or "")) for i, t in enumerate(texts)]
     sf = str(tmp_path)
@@ -44,7 +47,7 @@ def test_stages_match_brute_force(spark, tmp_path):
                 assert n >= 20 and 100 * repeats <= 30 * n
             assert set(before) - set(after) == {502, 503, 504, 505}
         elif k == 2:
-            groups = components([(i, fingerprint(t)) for i, t in before.items()])
+            groups = components(sorted(before.items()), bits=2)
             assert set(after) == {i for i, g in groups.items() if i == g}
         elif k == 3:
             for i, t in before.items():

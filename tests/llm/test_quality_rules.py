@@ -42,3 +42,12 @@ def test_sketches_merge(spark):
     halves = sketches(rows.filter("doc_id < 20")).union(sketches(rows.filter("doc_id >= 20")))
     assert thresholds(halves).collect() == thresholds(sketches(rows)).collect()
     assert judged(rows, thresholds(halves)).count() == 40
+
+
+def test_columns_of_the_input_keep_their_values(spark):
+    rows = [(i, " ".join(f"word{k}" for k in range(i, i + 40)) if i % 5 else "few words", "en", "s", i * 7, -i, f"x{i}", i + 0.5) for i in range(40)]
+    rows += rows[1:4]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _q bigint, _kept bigint, _F string, _q_a double")
+    out = quality_filter(docs)
+    assert out.dtypes == docs.dtypes
+    assert sorted(map(tuple, out.collect())) == sorted(r for r in rows if brute(r[1])[0] >= 20 and 100 * brute(r[1])[4] <= 30 * brute(r[1])[0])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
@@ -47,6 +50,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def release_memory() -> None:
+    """Give memory that models fitted before no longer use back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim:
+        trim(0)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, where it outlives a lost executor."""
     shared_folder(df.sparkSession)
@@ -56,6 +68,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder under a name of its own, and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    release_memory()
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -13,12 +13,12 @@ Sets of sizes further apart than the similarity allows can't link; sizes are com
 fetched.
 
 A band's key that many nodes share holds a large group of near copies, or a passage of many texts.  Its
-nodes are first held against one of them for each class of sizes, the pivot; round by round those that are
-still in other components than the pivot of the round are held against it, as long as a round links
-one of ten pairs.  What is left outside the key's largest component is then searched exactly, by prefixes:
+nodes are first held against one of them for each class of sizes, the pivot: the one whose keys most nodes share, which
+a text that others were edited from is.  Round by round a pivot from a component that had none yet is held against the nodes
+of other components, as long as a round links one of ten pairs.  What is left outside the key's largest component is then searched exactly, by prefixes:
 with hashes ordered from rare to common, two similar sets share one of their first ``n - ceil(s * n) + 1``.
 Hashes that no other of these sets has need no partner, so texts that share a mere passage drop out at once;
-a pair goes on to its whole sets only if it shares as many of its first hashes as the similarity asks for.
+a pair goes on to its whole sets only if behind a hash that they share enough others are left for the similarity.
 
 Edge cases: null, empty and wordless texts have the empty set and are equal; texts of fewer words than
 a shingle are one shingle; repeated ids each give a row, rows without an id are left alone.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from datebook.llm.common import checkpointed, map_rows
+from datebook.llm.common import checkpointed, map_rows, release_memory
 from datebook.llm.components import connected_components
 from datebook.llm.simhash import fingerprints_of, keep_least, shingle_hashes
 from datebook.llm.simhash import links as simhash_links
@@ -118,14 +118,14 @@ def _by_prefixes(rows: DataFrame, rest: DataFrame, sets: DataFrame, similarity:
     # The hashes that the set alone has come first in its prefix; the little taken off guards against rounding up.
     length = (F.size("found") - F.ceil(similarity * F.col("n") - 1e-6) + 1).cast("int")
     marked = rows.join(rest.withColumn("apart", F.lit(True)), "node", "left")
-    firsts = checkpointed(ordered.filter(length > 0).select("node", F.explode(F.slice("found", F.lit(1), length)).alias("f")).select("node", "f.hash").join(marked, "node"))
-    left = firsts.filter("apart").select("hash", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("own"))
-    right = firsts.select("hash", F.col("node").alias("b"), F.col("n").alias("n_b"), "component", "apart")
-    met = left.join(right, "hash").filter("own <> component AND (a < b OR apart IS NULL)").filter(_sized(similarity))
-    # What two sets share lies in both prefixes, or behind the one that ends first.
-    behind = F.ceil(similarity * F.greatest("n_a", "n_b") - 1e-6) - 1
-    enough = F.col("both") + behind >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    return met.groupBy("a", "b").agg(F.count("*").alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")).filter(enough).select("a", "b")
+    listed = ordered.filter(length > 0).select("node", F.size("found").alias("size"), F.posexplode(F.slice("found", F.lit(1), length)).alias("at", "f"))
+    firsts = checkpointed(listed.select("node", "f.hash", (F.col("size") - 1 - F.col("at")).alias("behind")).join(marked, "node"))
+    left = firsts.filter("apart").select("hash", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("behind").alias("behind_a"), F.col("component").alias("own"))
+    right = firsts.select("hash", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("behind").alias("behind_b"), "component", "apart")
+    # Two similar sets share no hash before the first that they share; what lies behind it must suffice.
+    enough = F.least("behind_a", "behind_b") + 1 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    met = left.join(right, "hash").filter("own <> component AND (a < b OR apart IS NULL)").filter(_sized(similarity) & enough)
+    return met.select("a", "b").distinct()
 
 
 def similar_links(shared: DataFrame, sets: DataFrame, similarity: float, few: int = FEW) -> DataFrame:
@@ -135,16 +135,19 @@ def similar_links(shared: DataFrame, sets: DataFrame, similarity: float, few: in
     alike = left.join(right, "key").filter("a < b").filter(_sized(similarity)).select("a", "b").distinct()
     links = checkpointed(_linked(alike, sets, similarity))
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity)))
-    many = shared.filter(F.col("m") > few).select("key", "node", "n", size_class.alias("class"))
+    weights = shared.groupBy("node").agg(F.sum("m").alias("weight"))
+    many = checkpointed(shared.filter(F.col("m") > few).join(weights, "node").select("key", "node", "n", size_class.alias("class"), "weight"))
     if many.isEmpty():
         return links
 
-    turn, more = 0, True
+    place, turn, more = ["key", "class"], 0, True
     while more:
         # At first every node stands alone; the links between few are as good found later.
         rows = checkpointed(_named(many, links)) if turn else many.withColumn("component", F.col("node"))
-        pivot = rows.groupBy("key", "class").agg(F.min_by(F.struct("node", "component", "n"), F.xxhash64("node", F.lit(turn))).alias("p"))
-        held = rows.join(pivot, ["key", "class"]).filter("component <> p.component").select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("n_a"), F.col("n").alias("n_b"))
+        fresh = rows.join(rows.join(tried, [*place, "node"], "left_semi").select(*place, "component").distinct(), [*place, "component"], "left_anti") if turn else rows
+        pivot = checkpointed(fresh.groupBy(*place).agg(F.max_by(F.struct("node", "component", "n"), F.struct("weight", "node")).alias("p")))
+        tried = pivot.select(*place, "p.node").union(tried) if turn else pivot.select(*place, "p.node")
+        held = rows.join(pivot, place).filter("component <> p.component").select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("n_a"), F.col("n").alias("n_b"))
         pairs = checkpointed(held.filter(_sized(similarity)).select("a", "b").distinct())
         new, turn = checkpointed(_linked(pairs, sets, similarity)), turn + 1
         links, more = checkpointed(links.union(new)), 10 * new.count() >= pairs.count() > 0
@@ -193,6 +196,7 @@ def keep_one_of_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8,
 
     Of rows that repeat an id one stays; rows without an id are left alone.
     """
+    release_memory()
     prints = checkpointed(_prints(docs, id_col, text_col, size))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("node")).filter("node IS NOT NULL"))
     copies = prints.select(id_col, "fp").join(nodes, "fp").select(F.col(id_col).alias("a"), F.col("node").alias("b"))

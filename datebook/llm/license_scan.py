@@ -4,6 +4,10 @@ A notice that may have ``k`` errors is cut into ``k + 1`` seeds, one of which mu
 unchanged.  An Aho-Corasick automaton finds all seeds in one pass; around each the regular
 expression of the whole notice, with ``{e<=k}``, confirms the match and gives its span and errors.
 
+Before that white space is folded: a run of it is one space, and so is a line end with the mark of a comment
+on the next line (``*``, ``//``, ``#``, ``;``, ``--``, ``%``, ``>``).  Spans are those of the text as it stands.  Matches are found from the left, each
+in its best fit, and the search goes on behind it, so none hides another.
+
 Edge cases: null text is empty text: no words, no labels, score 0; every place of a base phrase counts,
 overlapping ones too; spans of one notice that overlap are one, the one of fewest errors; repeated rows
 each give a row; other columns are left out.
@@ -11,6 +15,8 @@ each give a row; other columns are left out.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import ahocorasick
@@ -41,7 +47,19 @@ NOTICES = {
 #: Characters of a notice for each error that it may have.
 PER_ERROR = 12
 
-_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 9 <= b <= 13 else b for b in range(256))
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+_RUN = re.compile(r"(?:[ \t]*[\n\x0b\f\r][ \t]*(?:(?:/{2,}|-{2,}|[*#;%>]+)(?=[ \t\n\r])[ \t]*)?)+|[ \t]{2,}|\t")
+
+
+def folded(text: str) -> tuple[str, list[int], list[int]]:
+    """A-Z lower-cased and runs of white space and comment marks as one space; behind each run the place here, and how much longer the text is."""
+    low, pieces, at, upto, behind, longer = text.encode().translate(_LOWER).decode(), [], 0, 0, [0], [0]
+    for m in _RUN.finditer(low):
+        pieces += [low[at : m.start()], " "]
+        upto, at = upto + m.start() - at + 1, m.end()
+        behind.append(upto)
+        longer.append(at - upto)
+    return "".join([*pieces, low[at:]]), behind, longer
 
 
 @dataclass(frozen=True)
@@ -62,7 +80,8 @@ class FuzzyNotices:
         for text, label in notices.items():
             k = len(text) // per_error
             cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
-            self.notices.append((text, label, k, regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={k}}}")))
+            first, best = (regex.compile(f"(?{flag})(?:{regex.escape(text)}){{e<={k}}}") for flag in "eb")
+            self.notices.append((text, label, k, first, best))
             for a, b in zip(cuts, cuts[1:]):
                 seeds.setdefault(text[a:b], []).append((len(self.notices) - 1, a))
         for seed, uses in seeds.items():
@@ -71,11 +90,11 @@ class FuzzyNotices:
 
     def find(self, text: str) -> list[Match]:
         """Matches in ``text``, by place; offsets are characters of the text."""
-        low = text.encode().translate(_LOWER).decode()
+        low, behind, longer = folded(text)
         windows: dict[int, list[list[int]]] = {}
         for end, (length, uses) in self.automaton.iter(low):
             for n, offset in uses:
-                whole, _, k, _ = self.notices[n]
+                whole, _, k, *_ = self.notices[n]
                 start = end + 1 - length - offset
                 a, b = max(0, start - k), min(len(low), start + len(whole) + k)
                 held = windows.setdefault(n, [])
@@ -85,9 +104,15 @@ class FuzzyNotices:
                     held.append([a, b])
         found = []
         for n, spans in windows.items():
-            whole, label, _, pattern = self.notices[n]
-            for a, b in spans:
-                found += [Match(label, m.start(), m.end(), sum(m.fuzzy_counts), len(whole)) for m in pattern.finditer(low, a, b)]
+            whole, label, k, first, best = self.notices[n]
+            for at, end in spans:
+                while m := first.search(low, at, end):
+                    # What is found first may start or end a little off.
+                    m = best.search(low, max(at, m.start() - k), min(end, m.end() + k)) or m
+                    a = m.start() + longer[bisect_right(behind, m.start()) - 1]
+                    b = m.end() - 1 + longer[bisect_right(behind, m.end() - 1) - 1] + 1
+                    found.append(Match(label, a, b, sum(m.fuzzy_counts), len(whole)))
+                    at = m.end()
         return sorted(found, key=lambda m: (m.start, m.end, m.label))
 
 

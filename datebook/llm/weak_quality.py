@@ -157,17 +157,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trainin
     """The patterns of all documents, the label model's probabilities, and the scorer."""
     patterns = checkpointed(vote_patterns(docs, id_col, text_col))
     labels, _, _ = label_model({r.pattern: r.n for r in patterns.groupBy("pattern").agg(F.count("*").alias("n")).collect()})  # at most 3 ** 9 rows
-    chosen = patterns.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(training)
-    # At most ``training`` ids, so the broadcast is bounded.
-    texts = docs.select(F.col(id_col).cast("long"), text_col).join(F.broadcast(chosen), id_col)
+    chosen = patterns.filter(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(training)
+    # At most ``training`` ids, so the broadcast is bounded; and one text of each, the least, so is what the driver takes.
+    texts = docs.select(F.col(id_col).cast("long"), text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col))
 
     def work(slices):
         features = Features()
-        for _, found, given in slices:
+        for _, found in slices:
             pairs = [features(t) for t in found]
-            yield [given, [a.tolist() for a, _ in pairs], [x.tolist() for _, x in pairs]]
+            yield [["".join(map(str, votes(t))) for t in found], [a.tolist() for a, _ in pairs], [x.tolist() for _, x in pairs]]
 
-    rows = map_rows(texts.select(id_col, text_col, "pattern"), work, "pattern string, at array<int>, x array<double>", 200).collect()
+    rows = map_rows(texts, work, "pattern string, at array<int>, x array<double>", 200).collect()
     rows = sorted(rows, key=lambda r: (r.pattern[::-1], len(r.at), r.at[:20], r.x[:20]))
     order = np.random.default_rng(0).permutation(len(rows))
     pairs = [(np.array(rows[i].at, np.int64), np.array(rows[i].x, float)) for i in order]

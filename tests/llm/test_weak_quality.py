@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from datebook.llm.weak_quality import Features, label_model, quality_scores, votes
+from datebook.llm.weak_quality import Features, LinearScorer, fit, label_model, quality_scores, votes
 
 
 def test_label_model_recovers_accuracies():
@@ -50,3 +50,34 @@ def test_features_and_votes_of_odd_texts():
     assert len(Features()("")[0]) == 0 and len(votes(None)) == 9
     at, x = Features()("a a b")
     assert at[0] == 0 and abs(x[0] - 1 / 3) < 1e-9 and abs((x[1:] ** 2).sum() - 1) < 1e-9
+
+
+def test_training_takes_one_text_of_an_id_and_no_more_than_its_bound(spark):
+    rows = [(1, f"word{i} and more words {i} here. " * (i % 7 + 1)) for i in range(600)] + [(i, f"text {i} of its own. " * 9) for i in range(2, 40)] + [(None, "x y z")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    real = LinearScorer.fit
+    LinearScorer.fit = classmethod(lambda cls, rows, targets, *a, **k: seen.append((len(rows), targets.tolist(), [x.tolist() for _, x in rows])) or real(rows, targets, *a, **k))
+    try:
+        for parts in (1, 5):
+            fit(docs.repartition(parts), training=20)
+    finally:
+        LinearScorer.fit = real
+    assert seen[0][0] == 20 and seen[0] == seen[1]
+
+
+def test_posteriors_are_bayes_rule():
+    counts = {"000": 5, "111": 40, "012": 3, "222": 2, "110": 9}
+    posterior, good, chance = label_model(counts, rounds=3)
+    again, share, held = label_model(counts, rounds=2)
+    for p in counts:
+        odds = [1 - share, share]
+        for y in (0, 1):
+            for j, v in enumerate(p):
+                odds[y] *= held[j, y, int(v)]
+        assert abs(posterior[p] - odds[1] / sum(odds)) < 1e-9
+    total = sum(counts.values())
+    assert abs(good - (sum(posterior[p] * n for p, n in counts.items()) + 1) / (total + 2)) < 1e-9
+    for j in range(3):
+        by_vote = [sum(posterior[p] * n for p, n in counts.items() if int(p[j]) == v) + 1 for v in range(3)]
+        assert np.allclose(chance[j, 1], np.array(by_vote) / sum(by_vote))

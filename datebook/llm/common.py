@@ -84,9 +84,12 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[list]], Iterator[list]], sc
     target = pa_schema(schema)
 
     def run(batches):
-        slices = ([c.to_pylist() for c in part.columns] for batch in batches for part in _parts(batch, rows, chars))
+        columns, slices = None, ([c.to_pylist() for c in part.columns] for batch in batches for part in _parts(batch, rows, chars))
         for columns in work(slices):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+        # The worker lives on for other tasks.
+        del slices, columns
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datebook.llm.common import _ALNUM, _parts, alnum_words, crc_fold, map_rows, table, release_memory
+from datebook.llm.common import _ALNUM, _parts, alnum_words, crc_fold, map_rows, release_memory, table
 
 BLOCK = 256
 #: Numbers of neighbours to choose from.
@@ -326,7 +326,7 @@ def without_toxic(docs: DataFrame, index: NearestExamples, text_col: str = "text
 
     def run(batches):
         for whole in batches:
-            for batch in _parts(whole, 1000, 8_000_000):
+            for batch in _parts(whole, 250, 2_000_000):
                 yield batch.filter(pa.array([score < reject for score, _, _ in index.of(batch.column(at).to_pylist())], pa.bool_()))
         release_memory()
 

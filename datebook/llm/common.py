@@ -59,6 +59,15 @@ def release_memory() -> None:
         trim(0)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nobody holds any more.
+
+    It does so when the driver's garbage is collected, which in a job of many small rounds may be long after the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, where it outlives a lost executor."""
     shared_folder(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datebook.llm.common import checkpointed
+from datebook.llm.common import checkpointed, release_shuffles
 
 
 def _stars(sides: DataFrame) -> DataFrame:
@@ -29,6 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         stars = _stars(large)
         small = stars.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(stars.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.filter("u <> v").distinct())
+        del both, large, stars, small
+        release_shuffles(edges.sparkSession)
         before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break

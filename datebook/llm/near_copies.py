@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from datebook.llm.common import checkpointed, map_rows, release_memory
+from datebook.llm.common import checkpointed, map_rows, release_memory, release_shuffles
 from datebook.llm.components import connected_components
 from datebook.llm.simhash import fingerprints_of, keep_least, shingle_hashes
 from datebook.llm.simhash import links as simhash_links
@@ -150,6 +150,7 @@ def similar_links(shared: DataFrame, sets: DataFrame, similarity: float, few: in
         held = rows.join(pivot, place).filter("component <> p.component").select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("n_a"), F.col("n").alias("n_b"))
         pairs = checkpointed(held.filter(_sized(similarity)).select("a", "b").distinct())
         new, turn = checkpointed(_linked(pairs, sets, similarity)), turn + 1
+        release_shuffles(links.sparkSession)
         links, more = checkpointed(links.union(new)), 10 * new.count() >= pairs.count() > 0
     rows = checkpointed(_named(many, links))
     largest = rows.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
@@ -172,6 +173,7 @@ def similar_edges(docs: DataFrame, prints: DataFrame, size: int = 5, similarity:
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("band", "key")).select("node", "n", F.xxhash64("band", "key").alias("key"))
     shared = checkpointed(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key"))
     names = nodes.select("node", id_col)
+    release_shuffles(docs.sparkSession)
     sets = _sets(docs, names.join(shared.select("node"), "node", "left_semi").select(id_col), id_col, text_col, size)
     found = similar_links(shared, sets, similarity, few)
     a, b = names.select(F.col("node").alias("a"), F.col(id_col).alias("id_a")), names.select(F.col("node").alias("b"), F.col(id_col).alias("id_b"))

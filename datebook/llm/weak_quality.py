@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datebook.llm.common import checkpointed, map_rows, table
+from datebook.llm.common import map_rows, table, written
 
 #: Documents that the linear scorer is fitted to, at most.
 TRAINING = 4000
@@ -64,13 +64,13 @@ def votes(text: str | None) -> list[int]:
 
 
 def vote_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``pattern``, the votes as digits."""
+    """``id_col``, ``text_col`` and ``pattern``, the votes as digits; written, so that a text is voted on once."""
 
     def work(slices):
         for ids, texts in slices:
-            yield [ids, ["".join(map(str, votes(t))) for t in texts]]
+            yield [ids, texts, ["".join(map(str, votes(t))) for t in texts]]
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), text_col), work, f"{id_col} long, pattern string")
+    return written(map_rows(docs.select(F.col(id_col).cast("long"), text_col), work, f"{id_col} long, {text_col} string, pattern string"), "vote-patterns")
 
 
 def label_model(counts: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], float, np.ndarray]:
@@ -154,12 +154,12 @@ class LinearScorer:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: int = TRAINING) -> tuple[DataFrame, dict[str, float], LinearScorer]:
-    """The patterns of all documents, the label model's probabilities, and the scorer."""
-    patterns = checkpointed(vote_patterns(docs, id_col, text_col))
+    """The texts and patterns of all documents, the label model's probabilities, and the scorer."""
+    patterns = vote_patterns(docs, id_col, text_col)
     labels, _, _ = label_model({r.pattern: r.n for r in patterns.groupBy("pattern").agg(F.count("*").alias("n")).collect()})  # at most 3 ** 9 rows
     chosen = patterns.filter(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(training)
     # At most ``training`` ids, so the broadcast is bounded; and one text of each, the least, so is what the driver takes.
-    texts = docs.select(F.col(id_col).cast("long"), text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col))
+    texts = patterns.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col))
 
     def work(slices):
         features = Features()
@@ -179,16 +179,16 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A document stays if the mean of both is at least ``KEEP``; one without words by its weak label.
     """
-    _, labels, scorer = fit(docs, id_col, text_col, training)
+    patterns, labels, scorer = fit(docs, id_col, text_col, training)
 
     def work(slices):
         features = Features()
-        for ids, texts in slices:
-            weak = [labels["".join(map(str, votes(t)))] for t in texts]
+        for ids, texts, given in slices:
+            weak = [labels[p] for p in given]
             score = [scorer(*f) if len(f[0]) else w for f, w in zip(map(features, texts), weak)]
             yield [ids, weak, score, [(w + s) / 2 >= KEEP for w, s in zip(weak, score)]]
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), text_col), work, f"{id_col} long, weak double, score double, kept boolean")
+    return map_rows(patterns.select(id_col, text_col, "pattern"), work, f"{id_col} long, weak double, score double, kept boolean")
 
 
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

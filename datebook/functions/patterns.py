@@ -109,3 +109,13 @@ ZONES = {
 
 # Names of model providers.
 PROVIDERS = {"anthropic": "Anthropic", "openai": "OpenAI", "google": "Google", "meta-llama": "Meta Llama", "mistralai": "Mistral AI", "deepseek": "DeepSeek", "cohere": "Cohere", "microsoft": "Microsoft", "amazon": "Amazon", "qwen": "Qwen"}
+
+# Where on a page an event is marked.
+MARK_PREFIX = 15
+MARK_LEAST = 3
+MARK_SKIP = ["script", "style", "noscript", "template", "iframe"]
+MARK_TITLES = ["h1", "h2", "h3", "h4", "h5", "h6", "a", "span", "strong", "b", "em"]
+MARK_BOXES = ["article", "section", "div", "li", "tr", "td"]
+
+# Fixed value: names of reports that lie beside captured pages.
+REPORT_FILE = r"^(?:report|llm-report|old-new-(?:llm|static)-report)(?:-[^.]+)?\.json$"

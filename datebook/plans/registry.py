@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datebook.plans import block_queries, call_queries, event_queries, judge_queries, page_queries
+from datebook.plans import block_queries, call_queries, event_queries, judge_queries, page_queries, place_queries
 
-_ALL = {**block_queries.QUERIES, **event_queries.QUERIES, **page_queries.QUERIES, **call_queries.QUERIES, **judge_queries.QUERIES}
+_ALL = {**block_queries.QUERIES, **event_queries.QUERIES, **page_queries.QUERIES, **call_queries.QUERIES, **judge_queries.QUERIES, **place_queries.QUERIES}
 
 
 def queries():

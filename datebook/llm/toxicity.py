@@ -24,6 +24,7 @@ are left out.  Memory of the index grows with the examples' distinct terms.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 from itertools import chain
 
@@ -56,16 +57,43 @@ def terms(words: list[bytes]) -> Counter:
     return count
 
 
-def known_terms(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _places(word: bytes, place: Callable[[bytes, int], int]) -> list[int]:
+    """Places of the word's known terms.
+
+    The vocabulary has all stems of a word that it has, and all shorter stems of a stem, so the first that is missing ends the search.
+    """
+    found = []
+    for k in STEMS:
+        if len(word) <= k:
+            break
+        i = place(b"%d~%s" % (k, word[:k]), -1)
+        if i < 0:
+            return found
+        found.append(i)
+    i = place(word, -1)
+    if i >= 0:
+        found.append(i)
+    return found
+
+
+#: Most words whose terms a task keeps beside the vocabulary.
+KEPT = 200_000
+
+
+def known_terms(texts: list[str | None], vocabulary: dict[bytes, int], kept: dict[bytes, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, place in the vocabulary and frequency of each known term of each text, in this order.
 
-    The words of all texts are coded together, so a word's terms are looked up once.
+    The words of all texts are coded together, so a word's terms are looked up once.  The vocabulary is that of :func:`terms` of some texts;
+    ``kept`` has terms of words from slice to slice.
     """
     spaced = pa.array([text.encode().translate(_ALNUM) if text else b"" for text in texts], pa.string())
     lists = pc.split_pattern(spaced, " ")
     coded, place = lists.flatten().dictionary_encode(), vocabulary.get
     words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-    found = [[i for i in (place(w, -1), *(place(b"%d~%s" % (k, w[:k]), -1) for k in STEMS if len(w) > k)) if i >= 0] if w else [] for w in words]
+    kept = {b"": []} if kept is None else kept
+    if len(kept) > KEPT:
+        kept.clear()
+    found = [kept.get(w) if w in kept else kept.setdefault(w, _places(w, place) if w else []) for w in words]
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
     flat = np.fromiter(chain.from_iterable(found), np.int64, int(ends[-1]) if len(ends) else 0)
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -98,6 +126,7 @@ class NearestExamples:
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def __post_init__(self):
+        self.kept: dict[bytes, list[int]] = {}
         size = np.diff(self.offsets)
         self.blocks = -(-len(self.toxic) // BLOCK)
         term, self.heavy = np.repeat(np.arange(len(size)), size), np.where(size * 16 > len(self.toxic), 0, -1)
@@ -118,7 +147,7 @@ class NearestExamples:
 
     def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Each text's terms and their weights."""
-        text, term, n = known_terms(texts, self.vocabulary)
+        text, term, n = known_terms(texts, self.vocabulary, self.kept)
         weight = (1 + np.log(n)) * self.idf[term]
         weight /= np.maximum(np.sqrt(np.bincount(text, weight**2, len(texts))), 1e-12)[text]
         ends = np.searchsorted(text, np.arange(1, len(texts) + 1))
@@ -284,10 +313,10 @@ def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[i
     """The number of all documents, and of those that hold each term."""
 
     def work(slices):
-        count, seen = np.zeros(len(vocabulary), np.int64), 0
+        count, seen, kept = np.zeros(len(vocabulary), np.int64), 0, {}
         for (texts,) in slices:
             seen += len(texts)
-            count += np.bincount(known_terms(texts, vocabulary)[1], minlength=len(vocabulary))
+            count += np.bincount(known_terms(texts, vocabulary, kept)[1], minlength=len(vocabulary))
         some = np.flatnonzero(count)
         yield [np.append(-1, some), np.append(seen, count[some])]
 

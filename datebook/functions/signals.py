@@ -117,8 +117,8 @@ def is_link_heavy(html: Column, rendered_length: Column) -> Column:
 
 
 def has_delimited_lead_date(x: Column) -> Column:
-    """A date in a piped line among the first eight lines of the first 700 characters."""
-    lines = F.slice(F.split(F.substring(normalize_model_text(x), 1, 700), "\n", -1), 1, 8)
+    """A date in a piped line among the first eight lines of the first 700 characters; ``x`` is normalised."""
+    lines = F.slice(F.split(F.substring(x, 1, 700), "\n", -1), 1, 8)
     return F.exists(lines, lambda line: F.contains(line, F.lit("|")) & has_date(line))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from datebook.functions.arrow_signals import SPACE_CHARS
 from datebook.functions.patterns import PROVIDERS, S
 
 
@@ -24,7 +25,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim(x: Column) -> Column:
     """Without white space at both ends, non-breaking spaces included."""
-    return F.regexp_replace(x, rf"^{S}+|{S}+\z", "")
+    return F.btrim(x, F.lit(SPACE_CHARS))
 
 
 def blank_to_null(x: Column) -> Column:
@@ -33,9 +34,12 @@ def blank_to_null(x: Column) -> Column:
 
 def normalize_model_text(x: Column) -> Column:
     """Line ends as LF, runs of spaces as one, none beside a line end, at most two blank lines; tabs stay."""
-    x = F.regexp_replace(F.coalesce(x, F.lit("")), r"\r\n?", "\n")
-    x = F.regexp_replace(x, r"[ \f\x0B]+", " ")
-    x = F.regexp_replace(F.regexp_replace(x, r"\n[ \f\x0B]+", "\n"), r"[ \f\x0B]+\n", "\n")
+    x = F.coalesce(x, F.lit(""))
+    # Only what changes is replaced, and by plain search where one form of it is left.
+    for a, b in (("\r\n", "\n"), ("\r", "\n"), ("\f", " "), ("\x0b", " ")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    x = F.regexp_replace(x, " {2,}", " ")
+    x = F.replace(F.replace(x, F.lit("\n "), F.lit("\n")), F.lit(" \n"), F.lit("\n"))
     return trim(F.regexp_replace(x, r"\n{4,}", "\n\n\n"))
 
 

@@ -1,46 +1,30 @@
 """From a text to its blocks, and from blocks to a selection within a budget of characters.
 
 A text's blocks stay in its row as arrays, so scoring neighbours, ranking and selecting need no
-shuffle; the stages are projections one above the other.  Three steps work with the offsets of matches
-and are Arrow UDFs: cutting a long paragraph that is full of signals, counting distinct signal offsets
-and clipping a long block.  They get null for the rows that don't need them.
+shuffle; the steps are Arrow UDFs that take the blocks of all rows of a batch at once.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from datebook.functions import arrow_signals
 from datebook.functions import patterns as P
-from datebook.functions import signals
+from datebook.functions.arrow_signals import Texts, signal_counts, signal_offsets, strip
 from datebook.functions.text import normalize_model_text, trim
 
-# The same patterns for Python: ASCII classes are spelled out and \z is \Z there.
-_DATE, _TIME, _DETAIL = (re.compile(x) for x in (P.DATE, P.TIME, P.DETAIL_WORDS))
-_STRIP = re.compile(rf"^{P.S}+|{P.S}+\Z")
 _SENTENCE = re.compile(rf"[.!?]{P.S}+(?=[A-Z0-9#*])")
+_GAP = re.compile(rf"\n{P.S}*\n")
 MARK = "\n...\n"
 
 
-def strip(x: str) -> str:
-    return _STRIP.sub("", x)
-
-
-def signal_offsets(x: str) -> list[int]:
-    """Where dates, times and detail words start, in that order, each kind up to its cap and each place once."""
-    found: dict[int, None] = {}
-    for pattern, cap in ((_DATE, P.SIGNAL_CAPS["date"]), (_TIME, P.SIGNAL_CAPS["time"]), (_DETAIL, P.SIGNAL_CAPS["detail"])):
-        for n, m in enumerate(pattern.finditer(x)):
-            if n == cap:
-                break
-            found[m.start()] = None
-    return list(found)
-
-
 def chunks(x: str) -> list[str]:
     """Pieces of about 1400 characters, cut after a sentence, else at a space, else hard."""
     out, at = [], 0
@@ -58,7 +42,7 @@ def clip(x: str) -> str:
     most = P.MAX_BLOCK_CHARS
     if len(x) <= most:
         return x
-    offsets = signal_offsets(x)
+    offsets = signal_offsets(x) if signal_counts(Texts(pa.array([x])))[0] else []
     if not offsets:
         room = most - len(MARK)
         head = int(room * 0.55)
@@ -84,105 +68,151 @@ def clip(x: str) -> str:
     return MARK.join(p for p in map(strip, parts) if p)
 
 
-@F.pandas_udf(IntegerType())
-def _signal_count(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else len(signal_offsets(s))).astype("Int32")
+@F.arrow_udf(IntegerType())
+def _signal_count(x: pa.Array) -> pa.Array:
+    return pa.array(signal_counts(Texts(x)), pa.int32())
 
 
 def signal_count(x: Column) -> Column:
     """Distinct places of dates, times and detail words, each kind up to its cap."""
-    some = x.rlike(P.DATE) | x.rlike(P.TIME) | x.rlike(P.DETAIL_WORDS)
-    return F.when(some, _signal_count(F.when(some, x))).otherwise(0)
+    return _signal_count(x)
+
+
+def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Lists of so many of the values each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def list_counts(x: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
 
 
-@F.pandas_udf(ArrayType(ArrayType(StringType())))
-def _chunked(x: pd.Series) -> pd.Series:
-    cut = lambda p: chunks(p) if len(p) > P.MAX_BLOCK_CHARS and len(signal_offsets(p)) >= P.CHUNK_MIN_SIGNALS else []
-    return x.map(lambda ps: None if ps is None else [cut(p) for p in ps])
+def paragraph_blocks(p: str) -> list[str]:
+    """A paragraph as one block, as its lines if these are many or short, or cut where it is long and full of signals."""
+    if len(p) > P.MAX_BLOCK_CHARS and signal_counts(Texts(pa.array([p])))[0] >= P.CHUNK_MIN_SIGNALS and len(cut := chunks(p)) > 1:
+        return cut
+    lines = [x for x in map(strip, p.split("\n")) if x]
+    return lines if len(lines) > 4 or len(lines) > 1 and all(len(x) <= 180 for x in lines) else [p]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _clipped(x: pd.Series) -> pd.Series:
-    return x.map(lambda bs: None if bs is None else [clip(b) for b in bs])
+@F.arrow_udf(ArrayType(StringType()))
+def _blocks(text: pa.Array) -> pa.Array:
+    out = [[b for p in map(strip, _GAP.split(x or "")) if p for b in paragraph_blocks(p)] for x in text.to_pylist()]
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def with_blocks(df: DataFrame, text: Column, out: str = "blocks") -> DataFrame:
     """``df`` with ``out``, the text's blocks as an array of strings; a text without any has an empty array."""
-    tmp = f"_{out}_paragraphs"
-    paragraphs = F.filter(F.transform(F.split(normalize_model_text(text), rf"\n{P.S}*\n", -1), trim), lambda p: p != "")
-    df = df.withColumn(tmp, paragraphs)
-    long = F.exists(tmp, lambda p: F.length(p) > P.MAX_BLOCK_CHARS)
-    df = df.withColumn(f"{tmp}_cut", _chunked(F.when(long, F.col(tmp))))
+    return df.withColumn(out, _blocks(normalize_model_text(text)))
 
-    def blocks_of(p: Column, i: Column) -> Column:
-        cut = F.get(F.col(f"{tmp}_cut"), i)
-        lines = F.filter(F.transform(F.split(p, "\n", -1), trim), lambda x: x != "")
-        apart = (F.size(lines) > 4) | ((F.size(lines) > 1) & F.forall(lines, lambda x: F.length(x) <= 180))
-        return F.when(F.size(F.coalesce(cut, F.array())) > 1, cut).when(apart, lines).otherwise(F.array(p))
 
-    return df.withColumn(out, F.flatten(F.transform(tmp, blocks_of))).drop(tmp, f"{tmp}_cut")
+@F.arrow_udf(StructType([StructField("score", IntegerType()), StructField("noise", BooleanType())]))
+def _block_signals(content: pa.Array) -> pa.Array:
+    t = Texts(content)
+    score = arrow_signals.scores(t)
+    return pa.StructArray.from_arrays([pa.array(score), pa.array(arrow_signals.noise(t, score))], ["score", "noise"])
+
+
+def block_signals(content: Column) -> Column:
+    """Struct of a block's ``score`` and whether it is ``noise``."""
+    return _block_signals(content)
 
 
 def block_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, idx, content, score`` of each block."""
+    """``id_col, idx, content, score, noise`` of each block."""
     # An outer explode: for an inner one Spark infers a filter that would compute all blocks once more.
     rows = with_blocks(df.select(id_col, text_col), F.col(text_col)).select(id_col, F.posexplode_outer("blocks").alias("idx", "content")).filter("idx IS NOT NULL")
-    return rows.withColumn("score", signals.score_block(F.col("content")))
+    return rows.withColumn("_s", block_signals(F.col("content"))).select(id_col, "idx", "content", "_s.score", "_s.noise")
 
 
 #: What a block of a high score adds to its neighbours, by their distance.
 NEIGHBOURS = {-3: 3, -2: 4, -1: 8, 0: 20, 1: 8, 2: 4}
+#: Less than any score: nothing proposes the block.
+_NONE = -(10**9)
 
 
-def with_candidates(df: DataFrame, blocks: str = "blocks") -> DataFrame:
-    """``df`` with ``clipped``, ``scores`` and ``priority``, arrays beside ``blocks``.
+def priorities(score: np.ndarray, clipped: Texts, counts: np.ndarray) -> np.ndarray:
+    """The priority of each block of lists of so many blocks, ``_NONE`` where nothing proposes it.
 
-    A block that nothing proposes has priority null.  Noise is barred unless it is a title.
+    Noise is barred unless it is a title; where nothing of a list is proposed, its first blocks that aren't noise are.
     """
-    long = F.exists(blocks, lambda b: F.length(b) > P.MAX_BLOCK_CHARS)
-    df = df.withColumn("scores", F.transform(blocks, signals.score_block)).withColumn("clipped", F.coalesce(_clipped(F.when(long, F.col(blocks))), F.col(blocks)))
-    df = df.withColumn("kinds", F.transform("clipped", lambda b, i: F.struct(
-        signals.is_noise(b, F.get("scores", i)).alias("noise"), signals.is_title(b).alias("title"), signals.is_bridge(b).alias("bridge"), signals.is_month(b).alias("month"), signals.is_day(b).alias("day"),
-    )))
-    kind = lambda i, name: F.coalesce(F.get("kinds", i)[name], F.lit(False))
-    high = lambda i: F.when(F.get("scores", i) >= P.SIGNAL_SCORE, F.get("scores", i))
-    pair = lambda i: (kind(i, "month") & kind(i + 1, "day")) | (kind(i, "day") & kind(i + 1, "month"))
+    size = len(score)
+    row = np.repeat(np.arange(len(counts)), counts)
+    first = np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.arange(size) - first
+    count = np.repeat(counts, counts)
+
+    def near(values: np.ndarray, k: int, otherwise) -> np.ndarray:
+        """What the block ``k`` places on has, in the same list."""
+        there = (at + k >= 0) & (at + k < count)
+        return np.where(there, values[np.where(there, np.arange(size) + k, 0)], otherwise) if size else values
+
+    only = lambda some, value: np.where(some, value, _NONE)
+    noise, title, bridge, month, day = arrow_signals.noise(clipped, score), arrow_signals.titles(clipped), arrow_signals.bridges(clipped), arrow_signals.months(clipped), arrow_signals.days(clipped)
+    high = only(score >= P.SIGNAL_SCORE, score)
+    above = lambda k, bonus: (lambda h: only(h > _NONE, h + bonus))(near(high, k, _NONE))
+    dated = month & near(day, 1, False)
+    pair = dated | (day & near(month, 1, False))
     beside = P.SIGNAL_SCORE + 8
-    count = F.size("clipped")
-
-    def priority(b: Column, i: Column) -> Column:
-        score = F.get("scores", i)
-        plain = [high(i - d) + bonus for d, bonus in NEIGHBOURS.items()]
-        plain.append(F.when((score > 0) & (score < P.SIGNAL_SCORE), score))
-        # A day that follows this month, and a signal one or two blocks behind it.
-        plain += [F.when(kind(i, "month") & kind(i + 1, "day"), high(i + k) + 6) for k in (2, 3)]
-        plain += [F.when(pair(i - k), beside - less) for k, less in ((0, 0), (1, 0), (2, 1), (3, 2), (4, 3))]
-        lead = (score > 0) | ((i < P.PRIORITY_LEADS) & (score <= 0) & (F.length(b) <= P.SCORELESS_LEAD_CHARS))
-        plain.append(F.when(i < P.LEADS, F.when(lead, P.SIGNAL_SCORE + 36).otherwise(4)))
-        title, bridged = kind(i, "title"), kind(i, "title") & kind(i + 1, "bridge")
-        named = [F.when(title, high(i + 1) + 9), F.when(bridged, high(i + 2) + 9), F.when(title & pair(i + 1), beside + 1), F.when(bridged & pair(i + 2), beside + 1)]
-        return F.greatest(F.when(~kind(i, "noise"), F.greatest(*plain)), *named)
-
-    df = df.withColumn("priority", F.transform("clipped", priority))
-    # Where nothing is proposed the first blocks that aren't noise are.
-    plain = F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: ~kind(i, "noise") & (i < count))
-    fallback = F.transform("clipped", lambda b, i: F.when(F.array_contains(F.slice(plain, 1, P.LEADS), i), 1))
-    return df.withColumn("priority", F.when(F.exists("priority", lambda p: p.isNotNull()), F.col("priority")).otherwise(fallback)).drop("kinds")
-
-
-def selection(budget: Column) -> Column:
-    """Indexes of the blocks that fit ``budget``: by priority, skipping what is too long, until it is full."""
-    ranked = F.array_sort(F.filter(F.transform("clipped", lambda b, i: F.struct((-F.get("priority", i)).alias("p"), i.alias("i"), F.length(b).alias("n"))), lambda x: x["p"].isNotNull()))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"))
+    plain = [above(-d, bonus) for d, bonus in NEIGHBOURS.items()]
+    plain.append(only((score > 0) & (score < P.SIGNAL_SCORE), score))
+    # A day that follows this month, and a signal one or two blocks behind it.
+    plain += [only(dated, above(k, 6)) for k in (2, 3)]
+    plain += [only(near(pair, -k, False), beside - less) for k, less in ((0, 0), (1, 0), (2, 1), (3, 2), (4, 3))]
+    lead = (score > 0) | ((at < P.PRIORITY_LEADS) & (score <= 0) & (clipped.chars <= P.SCORELESS_LEAD_CHARS))
+    plain.append(only(at < P.LEADS, np.where(lead, P.SIGNAL_SCORE + 36, 4)))
+    bridged = title & near(bridge, 1, False)
+    named = [only(title, above(1, 9)), only(bridged, above(2, 9)), only(title & near(pair, 1, False), beside + 1), only(bridged & near(pair, 2, False), beside + 1)]
+    out = np.maximum(only(~noise, np.maximum.reduce(plain)), np.maximum.reduce(named))
+    idle = np.bincount(row[out > _NONE], minlength=len(counts))[row] == 0
+    fit = np.cumsum(~noise)
+    rank = fit - np.where(first > 0, fit[first - 1], 0) if size else fit
+    return np.where(idle & ~noise & (rank <= P.LEADS), 1, out)
+
+
+def candidates(blocks: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Scores, clipped texts and priorities of all blocks of the lists, and how many a list has."""
+    counts, flat = list_counts(blocks), Texts(blocks.flatten())
+    clipped = flat.x.to_pylist()
+    for k in np.flatnonzero(flat.chars > P.MAX_BLOCK_CHARS):
+        clipped[k] = clip(clipped[k])
+    score = arrow_signals.scores(flat)
+    return score, clipped, priorities(score, Texts(pa.array(clipped, pa.string())), counts), counts
+
+
+@F.arrow_udf(StructType([StructField("scores", ArrayType(IntegerType())), StructField("priority", ArrayType(IntegerType()))]))
+def _candidates(blocks: pa.Array) -> pa.Array:
+    score, _, priority, counts = candidates(blocks)
+    return pa.StructArray.from_arrays([lists(pa.array(score), counts), lists(pa.array(priority.astype(np.int32), mask=priority == _NONE), counts)], ["scores", "priority"])
 
-    def step(s: Column, x: Column) -> Column:
-        first = F.size(s["taken"]) == 0
-        size = x["n"] + F.when(first, 0).otherwise(2)
-        take = (first | (s["used"] + size <= budget)) & (first | (s["used"] < budget))
-        return F.struct(F.when(take, s["used"] + size).otherwise(s["used"]).alias("used"), F.when(take, F.concat(s["taken"], F.array(x["i"]))).otherwise(s["taken"]).alias("taken"))
 
-    taken = F.aggregate(ranked, start, step, lambda s: F.array_sort(s["taken"]))
-    return F.when(F.size(taken) > 0, taken).otherwise(F.array(F.lit(0)))
+def with_candidates(df: DataFrame, blocks: str = "blocks") -> DataFrame:
+    """``df`` with ``scores`` and ``priority``, arrays beside ``blocks``; a block that nothing proposes has priority null."""
+    return df.withColumn("_c", _candidates(F.col(blocks))).select(*df.columns, "_c.scores", "_c.priority")
+
+
+def selection(priority: list[int], sizes: list[int], budget: int) -> list[int]:
+    """Indexes of the blocks that fit ``budget``: by priority, skipping what is too long, until it is full."""
+    used, taken = 0, []
+    for i in sorted((i for i, p in enumerate(priority) if p != _NONE), key=lambda i: -priority[i]):
+        size = sizes[i] + (2 if taken else 0)
+        if not taken or used + size <= budget:
+            used += size
+            taken.append(i)
+        if used >= budget:
+            break
+    return sorted(taken) or [0]
+
+
+@F.arrow_udf(StringType())
+def _picked(blocks: pa.Array, budget: pa.Array) -> pa.Array:
+    _, clipped, priority, counts = candidates(blocks)
+    out, at, priority = [], 0, priority.tolist()
+    for n, most in zip(counts.tolist(), budget.to_pylist()):
+        own = clipped[at : at + n]
+        out.append("\n\n".join(own[i] for i in selection(priority[at : at + n], list(map(len, own)), most)) if n else "")
+        at += n
+    return pa.array(out, pa.string())
 
 
 def trim_to(x: Column, most: Column) -> Column:
@@ -212,9 +242,8 @@ def condense(df: DataFrame, text_col: str, most: Column | int = P.MAX_CHARS, out
     long = F.length("_norm") > F.col("_most")
     df = with_blocks(df, F.when(long, F.col("_norm")).otherwise(""), "_blocks").withColumn("_joined", F.array_join("_blocks", "\n\n"))
     over = F.length("_joined") > F.col("_most")
-    df = with_candidates(df.withColumn("_work", F.when(over, F.col("_blocks")).otherwise(F.array().cast("array<string>"))), "_work")
-    df = df.withColumn("_taken", F.when(over, selection(F.greatest(F.col("_most") - len(P.TRUNCATION_NOTICE) - 2, F.lit(0)))))
-    picked = F.array_join(F.transform("_taken", lambda i: F.get("clipped", i)), "\n\n")
+    work = F.when(over, F.col("_blocks")).otherwise(F.array().cast("array<string>"))
+    picked = _picked(work, F.greatest(F.col("_most") - len(P.TRUNCATION_NOTICE) - 2, F.lit(0)))
     body = F.when(F.col("_most") > len(P.TRUNCATION_NOTICE) + 2, picked).otherwise("")
     result = F.when(~long, F.col("_norm")).when(~over, F.col("_joined")).otherwise(with_notice(body, F.col("_most")))
     return df.select(*own, result.alias(out))

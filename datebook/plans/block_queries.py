@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datebook.functions import signals
-from datebook.operators.blocks import block_rows, condense, with_blocks, with_candidates
+from datebook.operators.blocks import block_rows, block_signals, condense, with_blocks, with_candidates
 from datebook.plans.derived import SIGNAL_DOCS_SQL, signal_docs, spread, table
 
 #: Characters that the selection queries leave of each text.
@@ -15,16 +14,15 @@ BUDGET = 3000
 
 def block_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_blocks(spread(signal_docs(spark, sf_dir)), F.col("text")).select("lang", "source", F.explode_outer("blocks").alias("content")).filter("content IS NOT NULL")
-    rows = rows.withColumn("score", signals.score_block(F.col("content")))
-    noise = signals.is_noise(F.col("content"), F.col("score"))
+    rows = rows.withColumn("_s", block_signals(F.col("content"))).select("lang", "source", "content", "_s.score", "_s.noise")
     return rows.groupBy("lang", "source").agg(
-        F.count("*").alias("blocks"), F.sum(F.col("score").cast("long")).alias("score_sum"), F.count(F.when(noise, 1)).alias("noise_blocks"), F.max(F.col("score").cast("long")).alias("score_max"), F.sum(F.length("content").cast("long")).alias("chars")
+        F.count("*").alias("blocks"), F.sum(F.col("score").cast("long")).alias("score_sum"), F.count(F.when(F.col("noise"), 1)).alias("noise_blocks"), F.max(F.col("score").cast("long")).alias("score_max"), F.sum(F.length("content").cast("long")).alias("chars")
     )
 
 
 def noise_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = block_rows(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
-    return rows.filter(signals.is_noise(F.col("content"), F.col("score"))).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("score").cast("long").alias("score"), "content")
+    return rows.filter("noise").select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("score").cast("long").alias("score"), "content")
 
 
 def _priorities(docs: DataFrame) -> DataFrame:

@@ -2,46 +2,70 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from datebook.functions import arrow_signals, signals
 from datebook.functions import patterns as P
-from datebook.functions import signals
-from datebook.functions.text import line_fingerprint, normalize_model_text
-from datebook.operators.blocks import condense, signal_count, with_blocks
+from datebook.functions.arrow_signals import Texts
+from datebook.functions.text import normalize_model_text, trim
+from datebook.operators.blocks import condense, with_blocks
 from datebook.operators.html import parsed_page
 from datebook.operators.stages import staged
 
 
+@F.arrow_udf(IntegerType())
+def _quality(x: pa.Array) -> pa.Array:
+    return pa.array(arrow_signals.quality(Texts(x)))
+
+
 def quality(x: Column) -> Column:
     """Up to 12 for length, 40 for signals and 30 for the score of the first 12000 characters; ``x`` is normalised."""
-    block = F.least(F.lit(30), F.greatest(F.lit(0), signals.score_block(F.substring(x, 1, 12000))))
-    return F.when(x == "", 0).otherwise(F.least(F.lit(12), F.floor(F.length(x) / 1200).cast("int")) + F.least(F.lit(40), signal_count(x) * 3) + block)
+    return _quality(x)
+
+
+@F.arrow_udf(IntegerType())
+def _cluster_count(blocks: pa.Array) -> pa.Array:
+    """All windows of a batch are searched at once; only the steps over the hits are taken text by text."""
+    texts = [b or [] for b in blocks.to_pylist()]
+    window = Texts(pa.array(["\n".join(b[i : i + 6]) for b in texts for i in range(len(b))], pa.string()))
+    hits = iter((window.has(P.DATE) & window.has(P.PLACE_DETAILS) & (window.has(P.TIME) | window.has(P.TITLE_EVENTS))).tolist())
+    out = []
+    for b in texts:
+        n = wait = 0
+        for _ in b:
+            hit = next(hits)
+            n, wait = (n, wait - 1) if wait else (n + 1, 3) if hit else (n, 0)
+        out.append(n)
+    return pa.array(out, pa.int32())
 
 
 def cluster_count(blocks: Column) -> Column:
     """Windows of six blocks with a date, a place and a time or kind of event; after a hit three blocks are passed over."""
-    def hit(b: Column, i: Column) -> Column:
-        window = F.array_join(F.slice(blocks, i + 1, 6), "\n")
-        return signals.has_date(window) & signals.has_place_detail(window) & (signals.has_time(window) | window.rlike(P.TITLE_EVENTS))
+    return _cluster_count(blocks)
+
 
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("wait"))
-    step = lambda s, h: F.struct((s["n"] + F.when((s["wait"] == 0) & h, 1).otherwise(0)).alias("n"), F.when(s["wait"] > 0, s["wait"] - 1).when(h, 3).otherwise(0).alias("wait"))
-    return F.aggregate(F.transform(blocks, hit), start, step, lambda s: s["n"])
+@F.arrow_udf(ArrayType(StringType()))
+def _detail_lines(html: pa.Array, rendered: pa.Array) -> pa.Array:
+    return pa.array(arrow_signals.detail_lines(html, rendered), pa.list_(pa.string()))
 
 
 def source_signals(df: DataFrame, text_col: str, markdown_col: str, most: Column | int = P.MAX_CHARS) -> DataFrame:
     """``df`` with both texts normalised (``_t``, ``_h``) and what the choice is made by: scores, lengths, lines, counts."""
     limit = F.lit(most) if isinstance(most, int) else most
     df = df.select("*", normalize_model_text(F.col(text_col)).alias("_t"), normalize_model_text(F.col(markdown_col)).alias("_h"), F.when(limit > 0, limit).otherwise(P.MAX_CHARS).alias("_limit"))
-    df = df.withColumns({"_ts": quality(F.col("_t")), "_hs": quality(F.col("_h")), "_tl": quality(normalize_model_text(F.substring("_t", 1, 2200))), "_hl": quality(normalize_model_text(F.substring("_h", 1, 2200))), "_tn": F.length("_t"), "_hn": F.length("_h"), "_print": line_fingerprint(F.col("_t"))})
+    df = df.withColumns({"_ts": quality(F.col("_t")), "_hs": quality(F.col("_h")), "_tl": quality(trim(F.substring("_t", 1, 2200))), "_hl": quality(trim(F.substring("_h", 1, 2200))), "_tn": F.length("_t"), "_hn": F.length("_h")})
     t, h, hs, tn, hn, limit = (F.col(f"_{c}") for c in ("t", "h", "hs", "tn", "hn", "limit"))
     both = (t != "") & (h != "")
-    lines = F.when(both & (hn > tn * 1.1) & ~signals.is_link_heavy(h, tn), signals.detail_lines(h, F.col("_print")))
+    longer = both & (hn > tn * 1.1) & ~signals.is_link_heavy(h, tn)
+    df = df.withColumn("_details", _detail_lines(F.when(longer, h), F.when(longer, t)))
+    lines = F.col("_details")
     return df.withColumns({
         "_lines": F.size(F.coalesce(lines, F.array().cast("array<string>"))), "_place": F.coalesce(F.exists(lines, signals.has_place_detail), F.lit(False)), "_chrome": signals.matches(t, P.DETAIL_CHROME),
         "_collapsible": t.rlike(P.COLLAPSED), "_dated": signals.has_delimited_lead_date(t) & ~signals.has_delimited_lead_date(h), "_reduced": both & (tn > limit) & (hn <= limit) & (hs >= P.HTML_SCORE),
-    }).drop("_print")
+    }).drop("_details")
 
 
 def event_clusters(df: DataFrame) -> DataFrame:

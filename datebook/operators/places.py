@@ -16,14 +16,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from datebook.functions import patterns as P
 from datebook.functions.text import marker_text
-from datebook.operators.html import CLOSES_P, Node, Tree
+from datebook.operators.blocks import lists
+from datebook.operators.html import CLOSES_P, PAGES, Node, Tree
 from datebook.operators.stages import staged
 
 #: Elements that a browser lays out as blocks, list items or cells.
@@ -31,6 +34,8 @@ BLOCKS = (CLOSES_P - {"table"}) | frozenset("li dt dd td th legend".split())
 NODE = StructType([StructField(n, IntegerType() if n in ("node", "element", "first", "last") else StringType()) for n in ("node", "element", "tag", "first", "last", "text")])
 #: Characters of the keys by which texts are found.
 GRAM = 3
+#: Terms of a page for which each of its texts is searched, one by one.
+FEW = 64
 
 
 def text_nodes(html: str | None) -> list[tuple]:
@@ -63,12 +68,21 @@ def text_nodes(html: str | None) -> list[tuple]:
     for n, (parent, text) in enumerate(found):
         element = title[parent] or parent
         rows.append((n, number[element], element.tag, *span[box[element] or element.parent], text))
+    # Without the way back to its parents a tree is freed at once.
+    for x in number:
+        x.parent = None
     return rows
 
 
-@F.pandas_udf(ArrayType(NODE))
-def _nodes(html: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(NODE.fieldNames(), row)) for row in text_nodes(x)] for x in html])
+@F.arrow_udf(ArrayType(NODE))
+def _nodes(html: pa.Array) -> pa.Array:
+    kind, parts = to_arrow_type(NODE), []
+    for at in range(0, len(html), PAGES):
+        pages = [text_nodes(x) for x in html.slice(at, PAGES).to_pylist()]
+        columns = zip(*(row for page in pages for row in page)) if any(pages) else [()] * len(kind)
+        rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
+        parts.append(lists(rows, np.array(list(map(len, pages)))))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
 
 
 def page_texts(pages: DataFrame, page: str = "page_id") -> DataFrame:
@@ -84,15 +98,21 @@ def term(x: Column) -> Column:
 def texts_with(terms: DataFrame, texts: DataFrame, page: str = "page_id") -> DataFrame:
     """``page, term, node``: the texts of its own page that hold each term; blank texts hold none.
 
-    Texts are cut into all their runs of one to three and of fifteen characters, so a term meets the texts that hold it whole, or its first
-    three characters, by an equality join; only terms in between are then looked for in the text.
+    Each text is searched for its page's terms, where these are few.  On pages of many, texts are cut into all their runs of one to
+    three and of fifteen characters, so a term meets the texts that hold it whole, or its first three characters, by
+    an equality join; only terms in between are then looked for in the text.
     """
-    plain = texts.join(terms.select(page).distinct(), page, "left_semi").select(page, "node", marker_text(F.col("text")).alias("plain")).filter("plain != ''")
+    plain = texts.select(page, "node", marker_text(F.col("text")).alias("plain")).filter("plain != ''")
+    sizes = terms.groupBy(page).agg(F.count("*").alias("_n"))
+    few = terms.join(sizes.filter(F.col("_n") <= FEW), page).groupBy(page).agg(F.collect_list("term").alias("_terms"))
+    found = plain.join(few, page).select(page, "node", F.explode(F.filter("_terms", lambda t: F.contains(F.col("plain"), t))).alias("term"))
+    many = terms.join(sizes.filter(F.col("_n") > FEW), page, "left_semi")
+    plain = plain.join(many.select(page).distinct(), page, "left_semi")
     runs = [F.regexp_extract_all("plain", F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in (*range(1, GRAM + 1), P.MARK_PREFIX)]
     keyed = plain.select(page, "node", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *runs))).alias("key"))
     key = F.when(F.length("term") == P.MARK_PREFIX, F.col("term")).otherwise(F.substring("term", 1, GRAM))
-    met = terms.withColumn("key", key).join(keyed, [page, "key"]).drop("key")
-    return met.join(plain, [page, "node"]).filter(F.contains("plain", "term")).select(page, "term", "node")
+    met = many.withColumn("key", key).join(keyed, [page, "key"]).drop("key")
+    return found.select(page, "term", "node").union(met.join(plain, [page, "node"]).filter(F.contains("plain", "term")).select(page, "term", "node"))
 
 
 def _nearby(rows: DataFrame, hits: DataFrame, by: str, page: str) -> DataFrame:
@@ -127,16 +147,17 @@ def placed_events(events: DataFrame, texts: DataFrame, page: str = "page_id", po
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("preview"))
     wanted = events.select(page, pos, F.struct(term(title).alias("title"), term(F.col("startDate")).alias("date"), term(F.col("startTime")).alias("time")).alias("_w"))
     asked = wanted.filter(F.col("_w.title").isNotNull() & F.col(page).isNotNull() & F.col(pos).isNotNull()).groupBy(page, pos).agg(F.min("_w").alias("_w")).select(page, pos, F.to_json("_w").alias("ask"), "_w.*")
-    asked = staged(asked, "place-asked")
-    lists = staged(candidates(asked, texts, page), "place-lists")
+    # Markup is parsed once, not for each join that reads its texts.
+    asked, texts = staged(asked, "place-asked"), staged(texts, "place-texts")
+    listed = staged(candidates(asked, texts, page), "place-lists")
     order = Window.partitionBy(page, "ask").orderBy(pos)
     # The k-th event of a list of fewer elements can't get one.
-    size = lists.groupBy(page, "ask").agg(F.max("at").alias("size"))
+    size = listed.groupBy(page, "ask").agg(F.max("at").alias("size"))
     held = asked.select(page, pos, "ask").withColumn("rank", F.row_number().over(order)).join(size, [page, "ask"]).filter("rank <= size").drop("size").withColumn("at", F.col("rank"))
     done: list[DataFrame] = []
     while True:
         first = F.min(pos).over(Window.partitionBy(page, "element"))
-        asks = held.join(lists, [page, "ask", "at"]).withColumn("refused", (F.col(pos) > first).cast("int"))
+        asks = held.join(listed, [page, "ask", "at"]).withColumn("refused", (F.col(pos) > first).cast("int"))
         asks = staged(asks.withColumn("open", F.max("refused").over(Window.partitionBy(page)) == 1), "place-round")
         done.append(asks.filter("NOT open"))
         rest = asks.filter("open")

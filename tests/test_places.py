@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from datebook.operators.places import page_texts, placed_events, text_nodes
 
 EVENTS = "page_id long, pos int, title string, preview string, startDate string, startTime string"
@@ -58,3 +60,15 @@ def test_repeats_nulls_and_nothing(spark):
     got = placed_events(spark.createDataFrame(events, EVENTS), page_texts(pages)).collect()
     assert {(r.page_id, r.pos, r.node) for r in got} == {(1, 0, 0), (1, 2, 1)}
     assert placed_events(spark.createDataFrame([], EVENTS), page_texts(pages)).count() == 0
+
+
+def test_few_and_many_terms_find_the_same_texts(spark, monkeypatch):
+    """Pages of few terms are searched term by term, those of many by runs of characters; markup is not cut into runs for few."""
+    from datebook.operators import places
+
+    terms = spark.createDataFrame([(p, t) for p in (1, 2) for t in ("", "ja", "jazz night in th", "zz n", "2031-03-05", "none")], "page_id int, term string").withColumn("term", F.substring("term", 1, 15))
+    texts = spark.createDataFrame([(1, 0, "Jazz  Night in the hall"), (1, 1, " "), (1, 2, "on 2031-03-05"), (2, 0, "ja"), (3, 0, "jazz")], "page_id int, node int, text string")
+    found = lambda: sorted(map(tuple, places.texts_with(terms, texts).collect()))
+    few = found()
+    monkeypatch.setattr(places, "FEW", 0)
+    assert few == found() and (1, "2031-03-05", 2) in few and (2, "ja", 0) in few

@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` on all cores: dealt out anew only where its scan has fewer partitions than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` dealt out anew to all cores.
+
+    How many partitions a scan has doesn't tell where its rows are: a file of one row group is cut into many, and all but one are empty.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
 
 
 #: Blocks before the text of a document, by its id modulo their number.
@@ -54,7 +56,7 @@ SIGNAL_DOCS_SQL = (
 
 def cal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event of each row of ``events``: times in five styles, ends, places and repeats by its numbers."""
-    rows = table(spark, sf_dir, "events")
+    rows = spread(table(spark, sf_dir, "events"))
     n, at = F.col("event_id"), F.col("ts")
     style = n % 5
     k = F.get_json_object("props", "$.k").cast("int")

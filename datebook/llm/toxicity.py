@@ -3,17 +3,20 @@
 *Examples.*  At most ``most`` labelled rows, half of them toxic or as many as there are, taken by the hash
 of their id, are the examples; that bound is the only sample.  Everything counted about words covers all documents.
 
-*Vector space.*  The terms are all words of the examples and their stems of 4 to 7 bytes.  Weights are
-``(1 + ln tf) * idf`` with document frequencies over all documents, scaled to unit length.
+*Passages.*  Examples and documents are cut into as few passages of equal length as hold at most ``PASSAGE`` words each, so a few words
+weigh as much in a long text as in a short one.  No word is left out; a text of at most ``PASSAGE`` words is one passage.
 
-*Search.*  The examples stand in blocks of 256, alike ones together, behind an inverted index which has
-the greatest weight of each term in each block.  A query bounds each block's cosine by those, works on
-blocks from the highest bound down and stops when no bound reaches its k-th best cosine, so the
+*Vector space.*  The terms are all words of the examples and their stems of 4 to 7 bytes.  A passage's weights are
+``(1 + ln tf) * idf`` with document frequencies over all whole documents, scaled to unit length.
+
+*Search.*  The examples' passages stand in blocks of 256, alike ones together, behind an inverted index which has
+the greatest weight of each term in each block.  A query bounds each block's cosine by those and leaves out
+blocks whose bound is below what its commonest terms alone give the k-th best passage, so the
 neighbours are exact.
 
-*Score.*  Neighbours vote with their cosine, shrunk to the prior; a rising curve fitted to leave-one-out
-votes of the examples turns a vote into a probability.  Of the numbers of neighbours in
-``KS`` the one is taken whose leave-one-out fit is the likeliest.
+*Score.*  Neighbours vote with their cosine, shrunk to the prior, and a document has the highest vote of its passages; a rising curve
+fitted to leave-one-out votes of the examples, none of whose own passages vote, turns a vote into a probability.  Of the numbers of
+neighbours in ``KS`` the one is taken whose leave-one-out fit is the likeliest.
 
 Edge cases: null and empty texts and texts without a term have no neighbours and get the score of an
 empty vote; without labels of both classes every score is the prior; a label of null isn't used, a
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from datebook.llm.common import _ALNUM, _parts, alnum_words, crc_fold, map_rows, release_memory, table
 
 BLOCK = 256
+#: Most words of a passage.
+PASSAGE = 300
 #: Numbers of neighbours to choose from.
 KS = (5, 15, 60, 120)
 REJECT = 0.7
@@ -80,9 +85,17 @@ def _places(word: bytes, place: Callable[[bytes, int], int]) -> list[int]:
 KEPT = 200_000
 
 
-def known_terms(texts: list[str | None], vocabulary: dict[bytes, int], kept: dict[bytes, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place in the vocabulary and frequency of each known term of each text, in this order.
+def passages(words: list[bytes]) -> list[list[bytes]]:
+    """The words cut as :func:`known_terms` cuts them; no words are one passage."""
+    parts = max(1, -(-len(words) // PASSAGE))
+    ends = [-(-i * len(words) // parts) for i in range(parts + 1)]
+    return [words[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def known_terms(texts: list[str | None], vocabulary: dict[bytes, int], kept: dict[bytes, list[int]] | None = None, cut: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place in the vocabulary and frequency of each known term of each text, in this order, then the number of passages of each text.
 
+    With ``cut``, passages stand in place of texts, numbered through all texts; without, a text is one passage.
     The words of all texts are coded together, so a word's terms are looked up once.  The vocabulary is that of :func:`terms` of some texts;
     ``kept`` has terms of words from slice to slice.
     """
@@ -96,20 +109,28 @@ def known_terms(texts: list[str | None], vocabulary: dict[bytes, int], kept: dic
     found = [kept.get(w) if w in kept else kept.setdefault(w, _places(w, place) if w else []) for w in words]
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
     flat = np.fromiter(chain.from_iterable(found), np.int64, int(ends[-1]) if len(ends) else 0)
-    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    pair, n = np.unique(owner * max(1, len(words)) + coded.indices.to_numpy(), return_counts=True)
+    owner, code = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), coded.indices.to_numpy()
+    parts = np.ones(len(texts), np.int64)
+    if cut:
+        full = np.fromiter(map(len, words), np.int64, len(words))[code] > 0
+        owner, code = owner[full], code[full]
+        size = np.bincount(owner, minlength=len(texts))
+        parts = np.maximum(1, -(-size // PASSAGE))
+        place_in = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+        owner = (np.cumsum(parts) - parts)[owner] + place_in * parts[owner] // size[owner]
+    pair, n = np.unique(owner * max(1, len(words)) + code, return_counts=True)
     word = pair % max(1, len(words))
     at, by = _ranges((ends - np.diff(ends, prepend=0))[word], ends[word])
     pair, back = np.unique((pair // max(1, len(words)))[by] * max(1, len(vocabulary)) + flat[at], return_inverse=True)
-    return pair // max(1, len(vocabulary)), pair % max(1, len(vocabulary)), np.bincount(back, n[by], len(pair))
+    return pair // max(1, len(vocabulary)), pair % max(1, len(vocabulary)), np.bincount(back, n[by], len(pair)), parts
 
 
 @dataclass
 class NearestExamples:
-    """Block-max index over examples: for each term the blocks that hold it, with the greatest weight there.
+    """Block-max index over passages of examples: for each term the blocks that hold it, with the greatest weight there.
 
-    ``offsets`` has where a term's postings start; ``examples`` and ``weights`` are the postings.  Those of a
-    term that over a sixteenth of the examples hold stand as one row of weights a block instead.
+    ``example_ids`` and ``toxic`` have a row a passage.  ``offsets`` has where a term's postings start; ``examples`` (places of passages) and
+    ``weights`` are the postings.  Those of a term that over a sixteenth of the passages hold stand as one row of weights a block instead.
     """
 
     vocabulary: dict[bytes, int]
@@ -134,7 +155,7 @@ class NearestExamples:
         thick = self.heavy[term] >= 0
         self.rows = np.zeros((self.heavy.max(initial=-1) + 1, self.blocks * BLOCK), np.float32)
         self.rows[self.heavy[term[thick]], self.examples[thick]] = self.weights[thick]
-        term, self.thin, self.thin_weights = term[~thick], self.examples[~thick], self.weights[~thick]
+        term, self.thin, self.thin_weights = term[~thick], self.examples[~thick].astype(np.intp), self.weights[~thick].astype(float)
         block = self.thin // BLOCK
         first = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(block) != 0))[: len(term)])
         #: A row for each other term and block that holds it: the block, the greatest weight, the postings' start.
@@ -145,16 +166,17 @@ class NearestExamples:
         # What __post_init__ derives is made again and doesn't travel.
         return NearestExamples, tuple(getattr(self, f.name) for f in fields(self))
 
-    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Each text's terms and their weights."""
-        text, term, n = known_terms(texts, self.vocabulary, self.kept)
+    def vectors(self, texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Each passage's terms and their weights, and the number of passages of each text."""
+        passage, term, n, parts = known_terms(texts, self.vocabulary, self.kept, cut=True)
+        total = int(parts.sum())
         weight = (1 + np.log(n)) * self.idf[term]
-        weight /= np.maximum(np.sqrt(np.bincount(text, weight**2, len(texts))), 1e-12)[text]
-        ends = np.searchsorted(text, np.arange(1, len(texts) + 1))
-        return [(term[a:b], weight[a:b]) for a, b in zip(np.append(0, ends), ends)]
+        weight /= np.maximum(np.sqrt(np.bincount(passage, weight**2, total)), 1e-12)[passage]
+        ends = np.searchsorted(passage, np.arange(1, total + 1))
+        return [(term[a:b], weight[a:b]) for a, b in zip(np.append(0, ends), ends)], parts
 
     def neighbours(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each vector, cosines and places of the k examples of the highest positive cosine, best first."""
+        """For each vector, cosines and places of the k passages of the highest positive cosine, best first; ``without`` has the id of an example for each vector whose passages are left out."""
         out = []
         for at in range(0, len(vectors), 256):
             some = vectors[at : at + 256]
@@ -164,38 +186,43 @@ class NearestExamples:
                 query[row[row >= 0]] = weight[row >= 0]
             for i, (part, (terms_, weight)) in enumerate(zip(queries @ self.rows, some)):
                 thin = self.heavy[terms_] < 0
-                out.append(self._nearest(part, terms_[thin], weight[thin], without[at + i] if without else -1))
+                out.append(self._nearest(part, terms_[thin], weight[thin], without[at + i] if without else None))
         return out
 
-    def _nearest(self, part: np.ndarray, at: np.ndarray, weight: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+    def _nearest(self, part: np.ndarray, at: np.ndarray, weight: np.ndarray, without: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The neighbours, from the ``part`` of each cosine that the rows give and the other terms."""
+        if without is not None:
+            part = np.where(self.others(without), part, 0)
         block_of, most, postings = self.pairs
-        pair, by = _ranges(self.pair_offsets[at], self.pair_offsets[at + 1])
-        weight, block = weight[by], block_of[pair]
-        bounds = np.bincount(block, weight * most[pair], self.blocks) + part.reshape(self.blocks, BLOCK).max(1, initial=0)
-        order = np.argsort(-bounds, kind="stable")
-        cosine, found = np.zeros(0), np.zeros(0, np.int64)
-        done, step = 0, 1
-        while done < len(order):
-            some = order[done : done + step]
-            some = some[bounds[some] > (max(0.0, cosine[self.k - 1] - 1e-5) if len(cosine) >= self.k else 0.0)]
-            if not len(some):
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[some] = True
-            mine = chosen[block]
-            posting, by = _ranges(postings[pair[mine]], postings[pair[mine] + 1])
-            sums = np.where(np.repeat(chosen, BLOCK), part, 0) + np.bincount(self.thin[posting], weight[mine][by] * self.thin_weights[posting], len(part))
-            new = np.flatnonzero(sums > 0)
-            new = new[new != without]
-            cosine, found = np.append(cosine, sums[new]), np.append(found, new)
-            if len(cosine) > self.k:
-                best = np.argpartition(-cosine, self.k)[: self.k]
-                cosine, found = cosine[best], found[best]
-            best = np.lexsort((found, -cosine))
+        start, end = self.pair_offsets[at], self.pair_offsets[at + 1]
+        pair, by = _ranges(start, end)
+        block = block_of[pair]
+        bounds = np.bincount(block, weight[by] * most[pair], self.blocks) + part.reshape(self.blocks, BLOCK).max(1, initial=0)
+        # No weight is negative, so the k-th best cosine is at least the k-th best part.
+        least = float(np.partition(part, -self.k)[-self.k]) - 1e-5 if self.k <= len(part) else 0.0
+        chosen = bounds > max(0.0, least)
+        mine = chosen[block]
+        if 2 * np.count_nonzero(mine) > len(mine):
+            # A term's postings stand together; the other blocks' cosines are then right too.
+            posting, by = _ranges(postings[start], postings[end])
+        else:
+            part = np.where(np.repeat(chosen, BLOCK), part, 0)
+            posting, among = _ranges(postings[pair[mine]], postings[pair[mine] + 1])
+            by = by[mine][among]
+        sums = part + np.bincount(self.thin[posting], weight[by] * self.thin_weights[posting], len(part))
+        if without is not None:
+            sums[~self.others(without)] = 0
+        found = np.flatnonzero(sums > 0)
+        cosine = sums[found]
+        if len(cosine) > self.k:
+            best = np.argpartition(-cosine, self.k)[: self.k]
             cosine, found = cosine[best], found[best]
-            done, step = done + step, 8 * step
-        return cosine, found
+        best = np.lexsort((found, -cosine))
+        return cosine[best], found[best]
+
+    def others(self, example: int) -> np.ndarray:
+        """Which places of the blocks hold no passage of the example."""
+        return np.append(self.example_ids != example, np.ones(self.blocks * BLOCK - len(self.example_ids), bool))
 
     def vote(self, cosine: np.ndarray, found: np.ndarray) -> float:
         return (float(cosine[self.toxic[found]].sum()) + self.shrink * self.prior) / (float(cosine.sum()) + self.shrink)
@@ -204,18 +231,23 @@ class NearestExamples:
         return float(np.interp(vote, *self.curve))
 
     def of(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """Each text's score and its neighbours."""
-        return [(self.score(self.vote(*best)), *best) for best in self.neighbours(self.vectors(texts))]
+        """Each text's score and the neighbours of its passage of the highest vote, the first of equal ones."""
+        vectors, parts = self.vectors(texts)
+        found = [(self.vote(*near), near) for near in self.neighbours(vectors)]
+        best = (max(found[a:b], key=lambda x: x[0]) for a, b in zip(np.cumsum(parts) - parts, np.cumsum(parts)))
+        return [(self.score(vote), *near) for vote, near in best]
 
     def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Choose k and fit the curve by leave-one-out votes, the classes weighted as they are in the labels."""
         self.k = max(KS)
-        near = self.neighbours(vectors, list(range(len(vectors))))
-        y = self.toxic.astype(float)
+        near = self.neighbours(vectors, self.example_ids.tolist())
+        _, first, example = np.unique(self.example_ids, return_index=True, return_inverse=True)
+        y = self.toxic[first].astype(float)
         share = np.where(y == 1, self.prior / max(y.sum(), 1), (1 - self.prior) / max((1 - y).sum(), 1)) * len(y)
         best = None
         for k in KS:
-            votes = np.array([self.vote(c[:k], f[:k]) for c, f in near])
+            votes = np.zeros(len(first))
+            np.maximum.at(votes, example, [self.vote(c[:k], f[:k]) for c, f in near])
             curve = _rising(votes, y, share, self.prior)
             p = np.interp(votes, *curve)
             likely = float((share * np.log(np.where(y == 1, p, 1 - p))).sum())
@@ -234,16 +266,17 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _rising(x: np.ndarray, y: np.ndarray, share: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """The rising curve nearest to ``y`` over ``x``, by pooling adjacent violators: places and values.
 
-    A pool's mean counts one more case at the prior, so no value is 0 or 1.
+    A pool has its mean from its least place to its greatest; only between pools does the curve rise.  A pool's mean counts one more
+    case at the prior, so no value is 0 or 1.
     """
-    pools: list[list[float]] = []  # weight, weight of y, weight of x
+    pools: list[list[float]] = []  # weight, weight of y, least x, greatest x
     for i in np.argsort(x, kind="stable").tolist():
-        pools.append([share[i], share[i] * y[i], share[i] * x[i]])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+        pools.append([share[i], share[i] * y[i], x[i], x[i]])
+        while len(pools) > 1 and (pools[-2][3] == pools[-1][2] or pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]):
             last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    weight, ones, place = np.array(pools).T
-    return place / weight, np.maximum.accumulate((ones + prior) / (weight + 1))
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
+    weight, ones, least, greatest = np.array(pools).T
+    return np.column_stack([least, greatest]).ravel(), np.repeat(np.maximum.accumulate((ones + prior) / (weight + 1)), 2)
 
 
 def _examples(labels: DataFrame, most: int) -> tuple[DataFrame, float]:
@@ -261,33 +294,34 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000) -> NearestExamples
 
     def spelled(slices):
         for doc_ids, toxic, texts in slices:
-            rows = [(d, y, t, n) for d, y, x in zip(doc_ids, toxic, texts) for t, n in (terms(alnum_words(x)) or {b"": 0}).items()]
-            yield [list(c) for c in zip(*rows)] if rows else [[], [], [], []]
+            cut = [(d, y, terms(part) or {b"": 0}) for d, y, x in zip(doc_ids, toxic, texts) for part in passages(alnum_words(x))]
+            yield [[d for d, _, _ in cut], [y for _, y, _ in cut], [list(c) for _, _, c in cut], [list(c.values()) for _, _, c in cut]]
 
     # At most ``most`` ids, so the broadcast is bounded, and so is what the driver takes of them.
     chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
-    rows = map_rows(chosen, spelled, "doc_id long, toxic boolean, term binary, tf int", 100).toArrow()
-    # A text without a term has the row of an empty one, which no text holds.
-    keys = rows["term"].combine_chunks().dictionary_encode()
+    rows = map_rows(chosen, spelled, "doc_id long, toxic boolean, terms array<binary>, tf array<int>", 100).toArrow()
+    rows = rows.take(np.argsort(rows["doc_id"].to_numpy(), kind="stable")).combine_chunks()
+    # A passage without a term has the row of an empty one, which no text holds.
+    ids, toxic = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(bool)
+    example = np.repeat(np.arange(len(ids), dtype=np.int32), pc.list_value_length(rows["terms"]).to_numpy())
+    keys = pc.list_flatten(rows["terms"]).combine_chunks().dictionary_encode()
     vocabulary = {t: i for i, t in enumerate(keys.dictionary.to_pylist())}
+    term, tf = keys.indices.to_numpy().copy(), pc.list_flatten(rows["tf"]).to_numpy().copy()
+    del rows, keys
+    release_memory()
     total, frequency = document_frequency(docs, vocabulary)
     idf = np.log((total + 1) / (frequency + 0.5)) * (frequency > 0)
-    names, example = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
-    toxic = np.zeros(len(names), bool)
-    toxic[example] = rows["toxic"].to_numpy()
-    term, tf = keys.indices.to_numpy().copy(), rows["tf"].to_numpy().copy()
-    del rows, keys
-    pa.default_memory_pool().release_unused()
     weight = (idf[term] * (1 + np.log(np.maximum(tf, 1)))).astype(np.float32)
-    weight /= np.maximum(np.sqrt(np.bincount(example, weight**2, len(names))), 1e-12)[example]
-    place = np.empty(len(names), np.int64)
-    place[_alike(example, term, weight, len(names), len(idf))] = np.arange(len(names))
+    weight /= np.maximum(np.sqrt(np.bincount(example, weight**2, len(ids))), 1e-12)[example]
+    order = _alike(example, term, weight, len(ids), len(idf))
+    ids, toxic, place = ids[order], toxic[order], np.empty(len(ids), np.int32)
+    place[order] = np.arange(len(ids))
     example = place[example]
-    order, back = np.lexsort((example, term)), np.argsort(place)
-    index = NearestExamples(vocabulary, idf, names[back], toxic[back], np.searchsorted(term[order], np.arange(len(idf) + 1)), example[order].astype(np.int32), weight[order].astype(np.float32), prior)
+    order = np.lexsort((example, term))
+    index = NearestExamples(vocabulary, idf, ids, toxic, np.searchsorted(term[order], np.arange(len(idf) + 1)), example[order], weight[order].astype(np.float32), prior)
     if toxic.any() and not toxic.all():
         by_example = np.argsort(example, kind="stable")
-        ends = np.cumsum(np.bincount(example, minlength=len(names)))
+        ends = np.cumsum(np.bincount(example, minlength=len(ids)))
         index.calibrate([(term[o], weight[o]) for o in np.split(by_example, ends[:-1])])
     else:
         index.curve = (np.zeros(1), np.full(1, prior))

@@ -4,7 +4,8 @@ from collections import Counter
 
 import numpy as np
 
-from datebook.llm.toxicity import STEMS, NearestExamples, fit, toxicity_scores, without_toxic
+from datebook.llm.common import alnum_words
+from datebook.llm.toxicity import PASSAGE, STEMS, NearestExamples, _rising, fit, known_terms, passages, terms, toxicity_scores, without_toxic
 
 
 def index_of(vectors, toxic, n_terms, k):
@@ -112,3 +113,44 @@ def test_repeated_rows_and_bound(spark):
     assert [len(i.toxic) for i in indexes] == [10, 10] and indexes[0].toxic.sum() == 5
     assert indexes[0].vocabulary.keys() == indexes[1].vocabulary.keys()
     assert toxicity_scores(d, indexes[0]).count() == 42
+
+
+def test_passages_are_cut_alike():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "beta5", "gammas", "delta--x", "épsilon"]) for _ in range(n)) + "  ." for n in (0, 1, PASSAGE, PASSAGE + 1, 3 * PASSAGE - 1, 3 * PASSAGE + 7)] + [None, "-- --"]
+    cut = [part for t in texts for part in passages(alnum_words(t))]
+    assert all(len(part) <= PASSAGE for part in cut) and [w for part in cut for w in part] == [w for t in texts for w in alnum_words(t)]
+    vocabulary = {t: i for i, t in enumerate(sorted({t for part in cut for t in terms(part)}))}
+    passage, term, n, parts = known_terms(texts, vocabulary, cut=True)
+    assert parts.tolist() == [len(passages(alnum_words(t))) for t in texts]
+    assert sorted(zip(passage.tolist(), term.tolist(), n.tolist())) == sorted((i, vocabulary[t], k) for i, part in enumerate(cut) for t, k in terms(part).items())
+
+
+def test_long_texts_are_caught(spark):
+    """Few words of one kind in a long text, among examples that are short and long."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 7)))
+    docs, labels = [], []
+    for i in range(600):
+        words = [word() for _ in range(rng.choice([40, 120, 2500]))]
+        bad = i % 5 == 0
+        for _ in range(max(3, len(words) // 40) if bad else 0):
+            words[rng.randrange(len(words))] = rng.choice(["vilest", "foulish", "grubby", "zanies", "mongrel"])
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    index = fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = {i: y for i, _, y in labels if zlib.crc32(str(i).encode()) % 3 == 1}
+    rows = {r.doc_id: r.score for r in toxicity_scores(d, index).collect()}
+    long = [i for i, y in held.items() if y and len(docs[i][1]) > 5000]
+    assert len(long) > 8 and sum(rows[i] >= 0.7 for i in long) >= 0.9 * len(long)
+    assert sum(rows[i] >= 0.7 for i, y in held.items() if not y) <= 2
+
+
+def test_curve_is_flat_within_a_pool():
+    x = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.9, 0.4])
+    y = np.array([0.0, 0, 1, 0, 1, 1, 1])
+    places, values = _rising(x, y, np.ones(7), 0.1)
+    assert np.all(np.diff(places) >= 0) and np.all(np.diff(values) >= 0)
+    at = np.interp(x, places, values)
+    assert at[4] == at[5] and at[3] == at[6] and at[2] < at[4] and np.interp(0.6, places, values) == at[5]

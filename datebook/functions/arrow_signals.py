@@ -8,6 +8,7 @@ the ASCII one that ``patterns.B`` spells out.  Null texts are taken as empty.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,31 @@ def strip(x: str) -> str:
     return x.strip(SPACE_CHARS)
 
 
+def stripped(x: pa.Array) -> pa.Array:
+    return pc.utf8_trim(x, characters=SPACE_CHARS)
+
+
+def normalized(x: pa.Array) -> pa.Array:
+    """As ``text.normalize_model_text``."""
+    x = pc.fill_null(x, "")
+    for a, b in (("\r\n", "\n"), ("\r", "\n"), ("\f", " "), ("\x0b", " ")):
+        x = pc.replace_substring(x, pattern=a, replacement=b)
+    x = pc.replace_substring_regex(x, pattern=" {2,}", replacement=" ")
+    for a in ("\n ", " \n"):
+        x = pc.replace_substring(x, pattern=a, replacement="\n")
+    return stripped(pc.replace_substring_regex(x, pattern="\n{4,}", replacement="\n\n\n"))
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most so many rows, and so many bytes of strings where one row hasn't more."""
+    ends = sum((np.cumsum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False), dtype=np.int64) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)), np.zeros(batch.num_rows, np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 class Texts:
     """An array of texts, and its lower-cased one for patterns that ignore case."""
 
@@ -56,7 +82,7 @@ class Texts:
         return pc.match_substring(self.x, pattern=part).to_numpy(zero_copy_only=False)
 
     def stripped(self) -> Texts:
-        return Texts(pc.utf8_trim(self.x, characters=SPACE_CHARS))
+        return Texts(stripped(self.x))
 
     def where(self, some: np.ndarray) -> Texts:
         return Texts(self.x.filter(pa.array(some)))

@@ -17,8 +17,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 
 from datebook.functions import arrow_signals
 from datebook.functions import patterns as P
-from datebook.functions.arrow_signals import Texts, signal_counts, signal_offsets, strip
-from datebook.functions.text import normalize_model_text, trim
+from datebook.functions.arrow_signals import Texts, signal_counts, signal_offsets, slices, strip
+from datebook.functions.text import normalize_model_text
 
 _SENTENCE = re.compile(rf"[.!?]{P.S}+(?=[A-Z0-9#*])")
 _GAP = re.compile(rf"\n{P.S}*\n")
@@ -95,10 +95,14 @@ def paragraph_blocks(p: str) -> list[str]:
     return lines if len(lines) > 4 or len(lines) > 1 and all(len(x) <= 180 for x in lines) else [p]
 
 
+def text_blocks(x: str) -> list[str]:
+    """The blocks of a normalised text."""
+    return [b for p in map(strip, _GAP.split(x)) if p for b in paragraph_blocks(p)]
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def _blocks(text: pa.Array) -> pa.Array:
-    out = [[b for p in map(strip, _GAP.split(x or "")) if p for b in paragraph_blocks(p)] for x in text.to_pylist()]
-    return pa.array(out, pa.list_(pa.string()))
+    return pa.array([text_blocks(x or "") for x in text.to_pylist()], pa.list_(pa.string()))
 
 
 def with_blocks(df: DataFrame, text: Column, out: str = "blocks") -> DataFrame:
@@ -204,31 +208,52 @@ def selection(priority: list[int], sizes: list[int], budget: int) -> list[int]:
     return sorted(taken) or [0]
 
 
-@F.arrow_udf(StringType())
-def _picked(blocks: pa.Array, budget: pa.Array) -> pa.Array:
-    _, clipped, priority, counts = candidates(blocks)
+def picked(blocks: list[list[str]], budget: list[int]) -> list[str]:
+    """Of each list the blocks that fit its budget, clipped and in their order."""
+    _, clipped, priority, counts = candidates(pa.array(blocks, pa.list_(pa.string())))
     out, at, priority = [], 0, priority.tolist()
-    for n, most in zip(counts.tolist(), budget.to_pylist()):
+    for n, most in zip(counts.tolist(), budget):
         own = clipped[at : at + n]
         out.append("\n\n".join(own[i] for i in selection(priority[at : at + n], list(map(len, own)), most)) if n else "")
         at += n
-    return pa.array(out, pa.string())
+    return out
 
 
-def trim_to(x: Column, most: Column) -> Column:
+def trim_to(x: str, most: int) -> str:
     """At most ``most`` characters, cut at the last blank line if that is in the last quarter."""
-    head = F.substring(x, F.lit(1), most.cast("int"))
-    gap = F.length(head) - F.locate("\n\n", F.reverse(head)) - 1
-    at = F.when(F.contains(head, F.lit("\n\n")) & (gap > most * 0.75), F.substring(head, F.lit(1), gap.cast("int"))).otherwise(head)
-    return F.when(F.length(x) <= most, x).otherwise(trim(at))
+    head = x[: max(0, most)]
+    gap = head.rfind("\n\n")
+    return x if len(x) <= most else strip(head[:gap] if gap >= 0 and gap > most * 0.75 else head)
 
 
-def with_notice(x: Column, most: Column) -> Column:
+def with_notice(x: str, most: int) -> str:
     """``x`` within ``most`` characters under a notice that it is shortened."""
-    notice = F.lit(P.TRUNCATION_NOTICE)
-    body = trim_to(x, F.greatest(most - len(P.TRUNCATION_NOTICE) - 2, F.lit(0)))
-    whole = F.when(body != "", F.concat(notice, F.lit("\n\n"), body)).otherwise(notice)
-    return F.when(most <= len(P.TRUNCATION_NOTICE), trim(F.substring(notice, F.lit(1), most.cast("int")))).otherwise(whole)
+    notice = P.TRUNCATION_NOTICE
+    body = trim_to(x, max(most - len(notice) - 2, 0))
+    return strip(notice[: max(0, most)]) if most <= len(notice) else f"{notice}\n\n{body}" if body else notice
+
+
+def condensed(texts: list[str], most: list[int]) -> list[str]:
+    """Normalised texts within so many characters each, the blocks that matter most first."""
+    out = list(texts)
+    blocks = {k: text_blocks(x) for k, x in enumerate(texts) if len(x) > most[k]}
+    for k, own in blocks.items():
+        out[k] = "\n\n".join(own)
+    over = [k for k in blocks if len(out[k]) > most[k]]
+    if not over:
+        return out
+    room = [most[k] - len(P.TRUNCATION_NOTICE) - 2 for k in over]
+    for k, left, body in zip(over, room, picked([blocks[k] for k in over], [max(n, 0) for n in room])):
+        out[k] = with_notice(body if left > 0 else "", most[k])
+    return out
+
+
+@F.arrow_udf(StringType())
+def _condensed(text: pa.Array, most: pa.Array) -> pa.Array:
+    """In slices, because a batch's blocks, their clipped and their lower-cased texts are several times its size."""
+    batch = pa.RecordBatch.from_arrays([pc.fill_null(text, ""), pc.fill_null(most, 0)], ["text", "most"])
+    parts = [pa.array(condensed(*(c.to_pylist() for c in part.columns)), pa.string()) for part in slices(batch, 1000)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def condense(df: DataFrame, text_col: str, most: Column | int = P.MAX_CHARS, out: str = "condensed") -> DataFrame:
@@ -240,10 +265,4 @@ def condense(df: DataFrame, text_col: str, most: Column | int = P.MAX_CHARS, out
     own = [c for c in df.columns if c != out]
     df = df.select(*own, normalize_model_text(F.col(text_col)).alias("_norm"), most.cast("int").alias("_most"))
     long = F.length("_norm") > F.col("_most")
-    df = with_blocks(df, F.when(long, F.col("_norm")).otherwise(""), "_blocks").withColumn("_joined", F.array_join("_blocks", "\n\n"))
-    over = F.length("_joined") > F.col("_most")
-    work = F.when(over, F.col("_blocks")).otherwise(F.array().cast("array<string>"))
-    picked = _picked(work, F.greatest(F.col("_most") - len(P.TRUNCATION_NOTICE) - 2, F.lit(0)))
-    body = F.when(F.col("_most") > len(P.TRUNCATION_NOTICE) + 2, picked).otherwise("")
-    result = F.when(~long, F.col("_norm")).when(~over, F.col("_joined")).otherwise(with_notice(body, F.col("_most")))
-    return df.select(*own, result.alias(out))
+    return df.select(*own, F.when(~long, F.col("_norm")).otherwise(_condensed(F.when(long, F.col("_norm")), F.col("_most"))).alias(out))

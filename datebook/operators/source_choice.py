@@ -1,154 +1,191 @@
-"""Which of a page's two texts goes to the model, and the whole of its input within the budget."""
+"""Which of a page's two texts goes to the model, and the whole of its input within the budget.
+
+A page's texts, their blocks and their windows are made, read and dropped in slices of a batch, so a worker's memory
+grows with a slice, and no table of texts is written on the way.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from datebook.functions import arrow_signals, signals
+from datebook.functions import arrow_signals
 from datebook.functions import patterns as P
-from datebook.functions.arrow_signals import Texts
-from datebook.functions.text import normalize_model_text, trim
-from datebook.operators.blocks import condense, with_blocks
-from datebook.operators.html import parsed_page
-from datebook.operators.stages import staged
-
-
-@F.arrow_udf(IntegerType())
-def _quality(x: pa.Array) -> pa.Array:
-    return pa.array(arrow_signals.quality(Texts(x)))
+from datebook.functions.arrow_signals import Texts, normalized, quality, slices, stripped
+from datebook.operators.blocks import condense, condensed, text_blocks
+from datebook.operators.html import PAGE, page_structs
 
+#: Most pages of a slice.  Small ones go by the thousand, because an expression is compiled for each slice.
+SLICE = 1000
 
-def quality(x: Column) -> Column:
-    """Up to 12 for length, 40 for signals and 30 for the score of the first 12000 characters; ``x`` is normalised."""
-    return _quality(x)
 
+def cluster_counts(blocks: list[list[str]]) -> list[int]:
+    """Windows of six blocks with a date, a place and a time or kind of event; after a hit three blocks are passed over.
 
-@F.arrow_udf(IntegerType())
-def _cluster_count(blocks: pa.Array) -> pa.Array:
-    """All windows of a batch are searched at once; only the steps over the hits are taken text by text."""
-    texts = [b or [] for b in blocks.to_pylist()]
-    window = Texts(pa.array(["\n".join(b[i : i + 6]) for b in texts for i in range(len(b))], pa.string()))
+    All windows are searched at once; only the steps over the hits are taken text by text.
+    """
+    window = Texts(pa.array(["\n".join(b[i : i + 6]) for b in blocks for i in range(len(b))], pa.string()))
     hits = iter((window.has(P.DATE) & window.has(P.PLACE_DETAILS) & (window.has(P.TIME) | window.has(P.TITLE_EVENTS))).tolist())
     out = []
-    for b in texts:
+    for b in blocks:
         n = wait = 0
         for _ in b:
             hit = next(hits)
             n, wait = (n, wait - 1) if wait else (n + 1, 3) if hit else (n, 0)
         out.append(n)
-    return pa.array(out, pa.int32())
-
-
-def cluster_count(blocks: Column) -> Column:
-    """Windows of six blocks with a date, a place and a time or kind of event; after a hit three blocks are passed over."""
-    return _cluster_count(blocks)
+    return out
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def _detail_lines(html: pa.Array, rendered: pa.Array) -> pa.Array:
-    return pa.array(arrow_signals.detail_lines(html, rendered), pa.list_(pa.string()))
+def any_has(lines: list[list[str]], pattern: str) -> np.ndarray:
+    """Whether any of each list's lines matches."""
+    counts = np.array([len(x) for x in lines], int)
+    hits = Texts(pa.array([x for own in lines for x in own], pa.string())).has(pattern)
+    return np.bincount(np.repeat(np.arange(len(lines)), counts)[hits], minlength=len(lines)) > 0
 
 
-def source_signals(df: DataFrame, text_col: str, markdown_col: str, most: Column | int = P.MAX_CHARS) -> DataFrame:
-    """``df`` with both texts normalised (``_t``, ``_h``) and what the choice is made by: scores, lengths, lines, counts."""
-    limit = F.lit(most) if isinstance(most, int) else most
-    df = df.select("*", normalize_model_text(F.col(text_col)).alias("_t"), normalize_model_text(F.col(markdown_col)).alias("_h"), F.when(limit > 0, limit).otherwise(P.MAX_CHARS).alias("_limit"))
-    df = df.withColumns({"_ts": quality(F.col("_t")), "_hs": quality(F.col("_h")), "_tl": quality(trim(F.substring("_t", 1, 2200))), "_hl": quality(trim(F.substring("_h", 1, 2200))), "_tn": F.length("_t"), "_hn": F.length("_h")})
-    t, h, hs, tn, hn, limit = (F.col(f"_{c}") for c in ("t", "h", "hs", "tn", "hn", "limit"))
-    both = (t != "") & (h != "")
-    longer = both & (hn > tn * 1.1) & ~signals.is_link_heavy(h, tn)
-    df = df.withColumn("_details", _detail_lines(F.when(longer, h), F.when(longer, t)))
-    lines = F.col("_details")
-    return df.withColumns({
-        "_lines": F.size(F.coalesce(lines, F.array().cast("array<string>"))), "_place": F.coalesce(F.exists(lines, signals.has_place_detail), F.lit(False)), "_chrome": signals.matches(t, P.DETAIL_CHROME),
-        "_collapsible": t.rlike(P.COLLAPSED), "_dated": signals.has_delimited_lead_date(t) & ~signals.has_delimited_lead_date(h), "_reduced": both & (tn > limit) & (hn <= limit) & (hs >= P.HTML_SCORE),
-    }).drop("_details")
+def delimited_lead_dates(x: pa.Array) -> np.ndarray:
+    """As ``signals.has_delimited_lead_date``."""
+    return any_has([[line for line in lead.split("\n")[:8] if "|" in line] for lead in pc.utf8_slice_codeunits(x, 0, 700).to_pylist()], P.DATE)
 
 
-def event_clusters(df: DataFrame) -> DataFrame:
-    """``df`` with ``_tc`` and ``_hc``: the events that the condensed text and the markdown still tell, where the text must be reduced.
+@dataclass
+class SourceSignals:
+    """What the choice between a rendered text and a page's markdown is made by, for arrays of both.
 
-    Only these rows, of which there are few, are condensed, written and counted.
+    ``t`` is of the text and ``h`` of the page: their score ``s``, that of their lead ``l``, their length ``n`` and the events they tell ``c``.
     """
-    reduced = condense(df.filter("_reduced"), "_t", F.col("_limit"), "_short")
-    reduced = with_blocks(with_blocks(staged(reduced, "reduced-texts"), F.col("_short"), "_tb"), F.col("_h"), "_hb")
-    counted = reduced.withColumns({"_tc": cluster_count(F.col("_tb")), "_hc": cluster_count(F.col("_hb"))}).drop("_short", "_tb", "_hb")
-    return df.filter("NOT _reduced").withColumns({"_tc": F.lit(0), "_hc": F.lit(0)}).unionByName(staged(counted, "event-clusters"))
 
-
-def text_wins() -> Column:
-    """Whether the rendered text goes to the model, by the columns of :func:`source_signals` and :func:`event_clusters`."""
-    ts, hs, tl, hl, tn, hn, limit = (F.col(f"_{c}") for c in ("ts", "hs", "tl", "hl", "tn", "hn", "limit"))
+    ts: np.ndarray
+    hs: np.ndarray
+    tl: np.ndarray
+    hl: np.ndarray
+    tn: np.ndarray
+    hn: np.ndarray
+    tc: np.ndarray
+    hc: np.ndarray
+    limit: np.ndarray
+    lines: np.ndarray
+    place: np.ndarray
+    chrome: np.ndarray
+    collapsible: np.ndarray
+    dated: np.ndarray
+    reduced: np.ndarray
+
+
+def source_signals(t: pa.Array, h: pa.Array, most: np.ndarray) -> SourceSignals:
+    """The signals of normalised texts.  Events are counted where the text must be reduced and the page needn't, in the text as reduced."""
+    limit = np.where(most > 0, most, P.MAX_CHARS)
+    text, page = Texts(t), Texts(h)
+    tn, hn, ts, hs = text.chars, page.chars, quality(text), quality(page)
+    lead = lambda x: quality(Texts(stripped(pc.utf8_slice_codeunits(x, 0, 2200))))
+    both = (tn > 0) & (hn > 0)
+    link_heavy = (page.count(r"\]\(") >= 20) & (hn > np.maximum(1200, tn * 3))
+    longer = pa.array(both & (hn > tn * 1.1) & ~link_heavy)
+    details = [x or [] for x in arrow_signals.detail_lines(pc.if_else(longer, h, None), pc.if_else(longer, t, None))]
+    reduced = both & (tn > limit) & (hn <= limit) & (hs >= P.HTML_SCORE)
+    tc, hc, some = np.zeros(len(t), int), np.zeros(len(t), int), pa.array(reduced)
+    short = condensed(t.filter(some).to_pylist(), limit[reduced].tolist())
+    for counts, own in ((tc, normalized(pa.array(short, pa.string()))), (hc, h.filter(some))):
+        counts[reduced] = cluster_counts([text_blocks(x) for x in own.to_pylist()])
+    return SourceSignals(
+        ts=ts, hs=hs, tl=lead(t), hl=lead(h), tn=tn, hn=hn, tc=tc, hc=hc, limit=limit,
+        lines=np.array([len(x) for x in details], int), place=any_has(details, P.PLACE_DETAILS), chrome=text.count(P.DETAIL_CHROME),
+        collapsible=text.has(P.COLLAPSED), dated=delimited_lead_dates(t) & ~delimited_lead_dates(h), reduced=reduced,
+    )
+
+
+def text_wins(s: SourceSignals) -> np.ndarray:
+    """Whether the rendered text goes to the model."""
+    ts, hs, tl, hl, tn, hn, limit = s.ts, s.hs, s.tl, s.hl, s.tn, s.hn, s.limit
     m = P.SOURCE_CHOICE
-    looks_like_chrome = ((F.col("_chrome") >= m["chrome_many"]) & (hn >= tn * m["chrome_share"]) & (hs >= P.HTML_SCORE)) | ((F.col("_chrome") >= m["chrome_some"]) & (hn > tn * m["chrome_growth"]) & (hs >= ts + m["chrome_lead"]))
-    adds_details = F.col("_place") & ((hs >= m["details_score"]) | (F.col("_lines") >= m["details_lines"]))
-    accordion = (tn <= m["accordion_chars"]) & (hn > tn * m["accordion_growth"]) & F.col("_collapsible") & (hs >= ts - m["accordion_less"])
+    looks_like_chrome = ((s.chrome >= m["chrome_many"]) & (hn >= tn * m["chrome_share"]) & (hs >= P.HTML_SCORE)) | ((s.chrome >= m["chrome_some"]) & (hn > tn * m["chrome_growth"]) & (hs >= ts + m["chrome_lead"]))
+    adds_details = s.place & ((hs >= m["details_score"]) | (s.lines >= m["details_lines"]))
+    accordion = (tn <= m["accordion_chars"]) & (hn > tn * m["accordion_growth"]) & s.collapsible & (hs >= ts - m["accordion_less"])
     opened = ~(looks_like_chrome | adds_details | accordion)
-    reduced = F.col("_reduced") & ~((F.col("_tc") >= m["clusters"]) & (F.col("_tc") > F.col("_hc")))
-    fits = opened & (tn <= limit) & (ts >= F.greatest(F.lit(m["fit_score"]), hs - m["fit_less"]))
+    reduced = s.reduced & ~((s.tc >= m["clusters"]) & (s.tc > s.hc))
+    fits = opened & (tn <= limit) & (ts >= np.maximum(m["fit_score"], hs - m["fit_less"]))
     better_lead = opened & (tn <= hn) & (tl >= m["lead_score"]) & (tl >= hl + m["lead_more"])
-    dated = (tn <= hn) & F.col("_dated")
+    dated = (tn <= hn) & s.dated
     near_budget = opened & (tn <= limit * m["near_limit"]) & (hn >= tn * m["near_share"]) & (ts >= m["near_score"]) & (tl >= m["near_lead"])
     sparse = (hn < m["sparse_chars"]) & (tn > hn * m["sparse_growth"]) & (ts >= hs)
     richer = (tn > hn * m["richer_growth"]) & (ts >= hs + m["richer_more"])
-    broader = (tn > hn * m["broader_growth"]) & (ts >= F.greatest(F.lit(m["broader_score"]), hs - m["broader_less"]))
+    broader = (tn > hn * m["broader_growth"]) & (ts >= np.maximum(m["broader_score"], hs - m["broader_less"]))
     bulky = (hn > limit) & (hn > tn * m["bulky_growth"]) & (ts >= m["bulky_score"])
     return ~reduced & (fits | better_lead | dated | near_budget | sparse | richer | broader | bulky)
 
 
-def choose_source(df: DataFrame, text_col: str, markdown_col: str, most: Column | int = P.MAX_CHARS, out: str = "chosen") -> DataFrame:
-    """``df`` with ``out``: the rendered text or the page's markdown, normalised; stages are written on the way."""
-    own = [c for c in df.columns if c != out]
-    measured = staged(source_signals(df.select(*own), text_col, markdown_col, most), "source-signals")
-    counted = event_clusters(measured)
-    t, h = F.col("_t"), F.col("_h")
-    return counted.select(*own, F.when(h == "", t).when(t == "", h).when(text_wins(), t).otherwise(h).alias(out))
-
+def chosen(text: pa.Array, markdown: pa.Array, most: np.ndarray) -> pa.Array:
+    """The rendered text or the page's markdown, normalised; null texts are empty."""
+    t, h = normalized(text), normalized(markdown)
+    wins = text_wins(source_signals(t, h, most))
+    is_empty = lambda x: pc.equal(pc.binary_length(x), 0)
+    return pc.if_else(is_empty(h), t, pc.if_else(is_empty(t), h, pc.if_else(pa.array(wins), t, h)))
 
-def fit_tables(tables: Column, most: int = P.CSV_MAX_CHARS) -> Column:
-    """Snippets in order within ``most`` characters, the last ones cut to whole lines, two at least."""
-    def cut(x: Column, room: Column) -> Column:
-        start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("lines"), F.lit(False).alias("full"))
 
-        def step(s: Column, line: Column) -> Column:
-            size = F.length(line) + F.when(F.size(s["lines"]) > 0, 1).otherwise(0)
-            full = s["full"] | (s["used"] + size > room)
-            return F.struct(F.when(full, s["used"]).otherwise(s["used"] + size).alias("used"), F.when(full, s["lines"]).otherwise(F.concat(s["lines"], F.array(line))).alias("lines"), full.alias("full"))
+def model_inputs(text: pa.Array, markdown: pa.Array, most: np.ndarray) -> pa.Array:
+    """The chosen source, condensed to ``most`` characters."""
+    return pa.array(condensed(chosen(text, markdown, most).to_pylist(), most.tolist()), pa.string())
 
-        whole = F.aggregate(F.split(x, "\n", -1), start, step, lambda s: F.when(F.size(s["lines"]) > 1, F.array_join(s["lines"], "\n")).otherwise(""))
-        return F.when(F.length(x) <= room, x).otherwise(whole)
 
-    start = F.struct(F.lit(most).alias("room"), F.array().cast("array<string>").alias("kept"))
+def fit_table(x: str, room: int) -> str:
+    """A snippet within ``room`` characters, cut to whole lines, two at least, or nothing of it."""
+    if len(x) <= room:
+        return x
+    lines, used = [], 0
+    for line in x.split("\n"):
+        size = len(line) + (1 if lines else 0)
+        if used + size > room:
+            break
+        lines.append(line)
+        used += size
+    return "\n".join(lines) if len(lines) > 1 else ""
 
-    def take(s: Column, x: Column) -> Column:
-        fitted = F.when(s["room"] > 0, cut(x, s["room"])).otherwise("")
-        return F.struct((s["room"] - F.length(fitted)).alias("room"), F.when(fitted != "", F.concat(s["kept"], F.array(fitted))).otherwise(s["kept"]).alias("kept"))
 
-    return F.aggregate(tables, start, take, lambda s: s["kept"])
+def fit_tables(tables: list[str], most: int = P.CSV_MAX_CHARS) -> list[str]:
+    """Snippets in order within ``most`` characters."""
+    kept, room = [], most
+    for x in tables:
+        if room > 0 and (fitted := fit_table(x, room)):
+            kept.append(fitted)
+            room -= len(fitted)
+    return kept
 
 
 def csv_chars(tables: Column) -> Column:
     return F.aggregate(tables, F.lit(0), lambda n, x: n + F.length(x))
 
 
-def model_input(df: DataFrame, text_col: str, markdown_col: str, most: Column | int = P.MAX_CHARS, out: str = "model_input") -> DataFrame:
-    """The chosen source, condensed to ``most`` characters."""
-    chosen = choose_source(df, text_col, markdown_col, most, f"_{out}_source")
-    return condense(chosen, f"_{out}_source", most, out).drop(f"_{out}_source")
-
-
-def preprocess_pages(pages: DataFrame, text_col: str | None = "text", html_col: str = "html") -> DataFrame:
-    """``pages`` with ``page``, ``csv_snippets`` and ``model_input``.  The text defaults to the page's own.
+def preprocess_pages(pages: DataFrame, text_col: str | None = "text", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """``pages``, or the columns of them to ``keep``, with ``page``, ``csv_snippets`` and ``model_input``.  The text defaults to the page's own.
 
-    A page is parsed once, and its parse is written; what the snippets take of the budget the model's input hasn't.
+    A page is parsed once; what the snippets take of the budget the model's input hasn't.
     """
-    parsed = staged(pages.withColumn("page", parsed_page(F.col(html_col))), "parsed-pages")
-    df = parsed.withColumn("csv_snippets", fit_tables(F.col("page.tables"))).withColumn("_rendered", F.col(text_col) if text_col else F.col("page.text")).withColumn("_markdown", F.col("page.markdown"))
-    df = df.withColumn("_room", F.greatest(F.lit(0), F.lit(P.MAX_CHARS) - csv_chars(F.col("csv_snippets")) - F.size("csv_snippets")))
-    return model_input(df, "_rendered", "_markdown", F.col("_room")).drop("_rendered", "_markdown", "_room")
+    made = [StructField("page", PAGE), StructField("csv_snippets", ArrayType(StringType())), StructField("model_input", StringType())]
+    own = [f for f in pages.schema if f.name not in {m.name for m in made} and (keep is None or f.name in keep)]
+    kept = [f.name for f in own]
+    read = list(dict.fromkeys([*kept, html_col, *([text_col] if text_col else [])]))
+
+    def inputs(part: pa.RecordBatch) -> list[pa.Array]:
+        page = page_structs(part.column(html_col))
+        tables = [fit_tables(x) for x in page.field("tables").to_pylist()]
+        room = np.array([max(0, P.MAX_CHARS - sum(map(len, x)) - len(x)) for x in tables], int)
+        return [page, pa.array(tables, pa.list_(pa.string())), model_inputs(part.column(text_col) if text_col else page.field("text"), page.field("markdown"), room)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, SLICE):
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), *inputs(part)], [*kept, *(m.name for m in made)])
+            # Not held while the next batch is read.
+            batch = part = None
+
+    return pages.select(*read).mapInArrow(run, StructType([*own, *made]))
 
 
 def preprocess_selection(df: DataFrame, text_col: str) -> DataFrame:

@@ -129,7 +129,7 @@ def made_pages(spark: SparkSession, sf_dir: str, kinds: int) -> DataFrame:
 
 def page_model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the model gets of each page: its text or its markdown, and tables, within the budget."""
-    rows = preprocess_pages(made_pages(spark, sf_dir, len(_KINDS)))
+    rows = preprocess_pages(made_pages(spark, sf_dir, len(_KINDS)), keep=["page_id"])
     return rows.select("page_id", "model_input", F.length("model_input").cast("long").alias("chars"), F.size("csv_snippets").cast("long").alias("tables"), csv_chars(F.col("csv_snippets")).cast("long").alias("csv_chars"))
 
 
@@ -140,7 +140,7 @@ CAST(CASE page_id % {len(_KINDS)} WHEN 10 THEN 2 * (31 * 140 + 30) + 23 * 140 +
 
 def site_model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for the tables' own pages, with the text that their markup shows."""
-    rows = preprocess_pages(spread(table(spark, sf_dir, "pages").select("page_id", "html")), text_col=None)
+    rows = preprocess_pages(spread(table(spark, sf_dir, "pages").select("page_id", "html")), text_col=None, keep=["page_id"])
     return rows.select("page_id", "model_input", F.size("csv_snippets").cast("long").alias("tables"), F.length("model_input").cast("long").alias("chars"))
 
 

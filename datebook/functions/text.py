@@ -6,9 +6,10 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from datebook.functions.arrow_signals import SPACE_CHARS
 from datebook.functions.patterns import PROVIDERS, S
@@ -53,10 +54,18 @@ def line_fingerprint(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"[^a-z0-9]+", " "))
 
 
+def _plain(s: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", s) if not 0x300 <= ord(c) <= 0x36F)
+
+
 @F.pandas_udf(StringType())
 def _decomposed(x: pd.Series) -> pd.Series:
-    plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not 0x300 <= ord(c) <= 0x36F)
-    return x.map(lambda s: None if s is None else plain(s))
+    return x.map(lambda s: None if s is None else _plain(s))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _decomposed_each(x: pa.Array) -> pa.Array:
+    return pa.array([own and [s and _plain(s) for s in own] for own in x.to_pylist()], pa.list_(pa.string()))
 
 
 def decomposed(x: Column) -> Column:
@@ -70,14 +79,25 @@ def _straight(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"[\u2010-\u2015]", "-"), rf"{S}+", " ")
 
 
-def normalize_search_text(x: Column) -> Column:
-    """For containment: plain letters, straight quotes and dashes, tight punctuation, brackets and hyphens."""
-    x = _straight(decomposed(F.coalesce(x, F.lit(""))))
+def _tight(x: Column) -> Column:
+    x = _straight(x)
     x = F.regexp_replace(x, r" +([,.;:!?])", "$1")
     x = F.regexp_replace(F.regexp_replace(x, r"([(/]) +", "$1"), r" +([)/])", "$1")
     return F.lower(trim(F.regexp_replace(x, r" *- *", "-")))
 
 
+def normalize_search_text(x: Column) -> Column:
+    """For containment: plain letters, straight quotes and dashes, tight punctuation, brackets and hyphens."""
+    return _tight(decomposed(F.coalesce(x, F.lit(""))))
+
+
+def normalize_search_texts(x: Column) -> Column:
+    """:func:`normalize_search_text` of each text of an array; arrays of ASCII don't leave the JVM's row."""
+    x = F.transform(x, lambda s: F.coalesce(s, F.lit("")))
+    other = F.exists(x, lambda s: s.rlike(r"[^\x00-\x7F]"))
+    return F.transform(F.when(other, _decomposed_each(F.when(other, x))).otherwise(x), _tight)
+
+
 def normalize_judge_text(x: Column) -> Column:
     """As :func:`normalize_search_text` with punctuation left where it is."""
     return F.lower(trim(_straight(decomposed(F.coalesce(x, F.lit(""))))))

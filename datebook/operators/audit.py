@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datebook.functions.patterns import MAX_CHARS
-from datebook.functions.text import normalize_search_text, round_number, trim
+from datebook.functions.text import let, normalize_search_text, normalize_search_texts, round_number, trim
 from datebook.operators.source_choice import csv_chars
-from datebook.operators.stages import staged
 
 LABEL_FIELDS = ["title", "date", "time", "location"]
 CAPTURED = ["html", "text", "title", "lang", "finalUrl", "capturedAt"]
+#: What :func:`listed_labels` gives.
+LABELS = "array<struct<event: int, title: string, field: string, label: string>>"
 
 
 class FixtureError(ValueError):
@@ -59,19 +60,27 @@ def selected(fixtures: DataFrame, names: list[str]) -> DataFrame:
     return fixtures.join(F.broadcast(wanted), "name", "left_semi")
 
 
+def listed_labels(events: Column) -> Column:
+    """Structs ``event, title, field, label`` of all labels of a page's expected events."""
+    fields = lambda e: F.filter(F.array(*[F.struct(F.lit(f).alias("field"), trim(e[f]).alias("label")) for f in LABEL_FIELDS]), lambda x: x["label"] != "")
+    own = lambda e: F.filter(F.array_distinct(F.coalesce(e["labels"], F.array().cast("array<string>"))), lambda x: (x != "") & ~F.array_contains(F.array(*[F.coalesce(e[f], F.lit("")) for f in LABEL_FIELDS]), x))
+    listed = lambda e: F.concat(fields(e), F.transform(own(e), lambda x, i: F.struct(F.format_string("label-%d", i + 1).alias("field"), x.alias("label"))))
+    title = lambda e, i: F.coalesce(e["title"], F.format_string("event-%d", i + 1))
+    return F.flatten(F.transform(events, lambda e, i: F.transform(listed(e), lambda x: F.struct(i.alias("event"), title(e, i).alias("title"), x["field"].alias("field"), x["label"].alias("label")))))
+
+
+def held_in(x: Column, found: Column) -> Column:
+    """Whether ``x`` contains each of an array's texts; all are normalised, ``x`` once."""
+    return let(normalize_search_text(x), lambda whole: F.transform(found, lambda s: F.contains(whole, s)))
+
+
 def label_rows(df: DataFrame, keys: list[str], events_col: str, source_col: str, context_col: str) -> DataFrame:
     """A row for each label of each expected event, with its presence in the source and in the context."""
-    own = lambda e: F.filter(F.array_distinct(F.coalesce(e["labels"], F.array().cast("array<string>"))), lambda x: (x != "") & ~F.array_contains(F.array(*[F.coalesce(e[f], F.lit("")) for f in LABEL_FIELDS]), x))
-    listed = lambda e: F.concat(
-        F.filter(F.array(*[F.struct(F.lit(f).alias("field"), trim(e[f]).alias("label")) for f in LABEL_FIELDS]), lambda x: x["label"] != ""),
-        F.transform(own(e), lambda x, i: F.struct(F.format_string("label-%d", i + 1).alias("field"), x.alias("label"))),
-    )
-    # Both texts are normalised once a page, before it is multiplied by its labels.
-    pages = df.select(*keys, normalize_search_text(F.col(source_col)).alias("_source"), normalize_search_text(F.col(context_col)).alias("_context"), events_col)
-    events = pages.select(*keys, "_source", "_context", F.posexplode(events_col).alias("event", "_e"))
-    rows = events.select(*keys, "event", F.coalesce(F.col("_e.title"), F.format_string("event-%d", F.col("event") + 1)).alias("title"), "_source", "_context", F.explode(listed(F.col("_e"))).alias("_l"))
-    rows = rows.select(*keys, "event", "title", "_l.field", "_l.label", "_source", "_context", normalize_search_text(F.col("_l.label")).alias("_n"))
-    return rows.select(*keys, "event", "title", "field", "label", F.contains("_source", F.col("_n")).alias("in_source"), F.contains("_context", F.col("_n")).alias("in_context"))
+    rows = df.select(*keys, listed_labels(F.col(events_col)).alias("_l"), source_col, context_col)
+    rows = rows.withColumn("_n", normalize_search_texts(F.col("_l.label")))
+    # A page's texts are left behind before it is multiplied by its labels.
+    rows = rows.select(*keys, F.explode(F.arrays_zip("_l", held_in(F.col(source_col), F.col("_n")).alias("in_source"), held_in(F.col(context_col), F.col("_n")).alias("in_context"))).alias("_r"))
+    return rows.select(*keys, "_r._l.event", "_r._l.title", "_r._l.field", "_r._l.label", "_r.in_source", "_r.in_context")
 
 
 def label_audit(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,27 +92,25 @@ def label_audit(rows: DataFrame, keys: list[str]) -> DataFrame:
 def page_audit(fixtures: DataFrame) -> DataFrame:
     """Sizes, shrink ratios, missing anchors and labels, and whether a page passes.
 
-    ``fixtures`` have been preprocessed: ``page, model_input, csv_snippets`` beside the corpus's columns.
+    ``fixtures`` have been preprocessed: ``page, model_input, csv_snippets`` beside the corpus's columns.  A page is
+    audited in its own row, whatever its name, and its texts go nowhere.
     """
-    # The model's input is computed once, and not for each of the columns, anchors and labels that read it.
-    fixtures = staged(fixtures, "model-inputs")
     context = F.concat_ws("\n", F.col("model_input"), F.col("csv_snippets"))
     ratio = lambda a, b: round_number(F.try_divide(a, F.when(b > 0, b)))
-    df = fixtures.withColumns({"context": context, "csv_chars": csv_chars(F.col("csv_snippets")), "separators": F.size("csv_snippets"), "markdown_chars": F.length("page.markdown")})
+    df = fixtures.withColumns({"csv_chars": csv_chars(F.col("csv_snippets")), "separators": F.size("csv_snippets"), "markdown_chars": F.length("page.markdown")})
     df = df.withColumn("context_chars", F.length("model_input") + F.col("csv_chars") + F.col("separators"))
     df = df.withColumn("previous_chars", F.when(F.col("markdown_chars") > 0, F.col("markdown_chars") + F.col("csv_chars") + F.col("separators")))
-    df = df.withColumns({"text_ratio": ratio(F.col("context_chars"), F.length("text")), "markdown_ratio": ratio(F.col("context_chars"), F.col("markdown_chars")), "previous_ratio": ratio(F.col("context_chars"), F.col("previous_chars")), "_norm": normalize_search_text(F.col("context")), "_anchors": F.col("expectedAnchors")})
-    df = staged(df, "audited-pages")
-    anchors = df.select("name", "_norm", F.explode("_anchors").alias("anchor"))
-    lost = anchors.filter(~F.contains("_norm", normalize_search_text(F.col("anchor")))).groupBy("name").agg(F.array_sort(F.collect_list("anchor")).alias("missing_anchors"))
-    labels = label_rows(df, ["name"], "expectedEvents", "text", "context")
-    said = F.concat(F.col("title"), F.lit(": "), F.col("field"), F.lit("="), F.col("label"))
-    lost_labels = labels.groupBy("name").agg(F.array_sort(F.collect_list(F.when(~F.col("in_context"), said))).alias("missing_events"), F.array_sort(F.collect_list(F.when(~F.col("in_source"), said))).alias("missing_source_events"))
-    out = df.join(lost, "name", "left").join(lost_labels, "name", "left")
-    lists = ["missing_anchors", "missing_source_events", "missing_events"]
-    out = out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
+    df = df.withColumns({"text_ratio": ratio(F.col("context_chars"), F.length("text")), "markdown_ratio": ratio(F.col("context_chars"), F.col("markdown_chars")), "previous_ratio": ratio(F.col("context_chars"), F.col("previous_chars"))})
+    labels, anchors = listed_labels(F.col("expectedEvents")), F.coalesce("expectedAnchors", F.array().cast("array<string>"))
+    df = df.withColumn("_listed", F.coalesce(labels, F.array().cast(LABELS))).withColumn("_said", F.concat(anchors, F.transform("_listed", lambda x: x["label"])))
+    df = df.withColumn("_found", normalize_search_texts(F.col("_said")))
+    # Anchors are looked for in the context alone, but stand with the labels, so that a text is normalised once.
+    df = df.withColumns({"_in_context": held_in(context, F.col("_found")), "_in_source": held_in(F.col("text"), F.col("_found"))})
+    events = F.concat(F.transform(anchors, lambda x: F.lit(None).cast("string")), F.transform("_listed", lambda x: F.concat(x["title"], F.lit(": "), x["field"], F.lit("="), x["label"])))
+    lost = lambda names, held: F.array_sort(F.filter(F.zip_with(names, held, lambda x, there: F.when(~there, x)), lambda x: x.isNotNull()))
+    out = df.withColumns({"missing_anchors": lost(anchors, F.slice("_in_context", 1, F.size(anchors))), "missing_events": lost(events, F.col("_in_context")), "missing_source_events": lost(events, F.col("_in_source"))})
     grown = F.coalesce(F.col("previous_ratio") <= F.col("maxPreviousContextGrowthRatio"), F.lit(True))
-    return out.withColumn("passed", (F.size("missing_anchors") + F.size("missing_source_events") + F.size("missing_events") == 0) & (F.col("context_chars") <= F.col("maxContextChars")) & grown).drop("_norm", "_anchors", "context")
+    return out.withColumn("passed", (F.size("missing_anchors") + F.size("missing_source_events") + F.size("missing_events") == 0) & (F.col("context_chars") <= F.col("maxContextChars")) & grown).drop("_listed", "_said", "_found", "_in_context", "_in_source")
 
 
 def audit_report(pages: DataFrame) -> DataFrame:

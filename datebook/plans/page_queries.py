@@ -169,7 +169,8 @@ def page_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("name"), F.lit("").alias("url"), "html", "text", F.array(F.expr(_EVENT["title"])).alias("expectedAnchors"), F.array(event).alias("expectedEvents"),
         F.lit(_MOST).alias("maxContextChars"), F.lit(_GROWTH).alias("maxPreviousContextGrowthRatio"),
     )
-    rows = audit.page_audit(preprocess_pages(audit.normalized_corpus(fixtures)))
+    corpus = audit.normalized_corpus(fixtures)
+    rows = audit.page_audit(preprocess_pages(corpus, keep=[c for c in corpus.columns if c != "html"]))
     joined = lambda c: F.array_join(c, "; ").alias(c)
     return rows.select("name", F.col("context_chars").cast("long").alias("context_chars"), "text_ratio", "markdown_ratio", "previous_ratio", *map(joined, ("missing_anchors", "missing_source_events", "missing_events")), "passed")
 

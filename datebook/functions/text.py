@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from datebook.functions.arrow_signals import SPACE_CHARS
-from datebook.functions.patterns import PROVIDERS, S
+from datebook.functions.patterns import PROVIDERS, SPACES, S
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,19 +68,27 @@ def _decomposed_each(x: pa.Array) -> pa.Array:
     return pa.array([own and [s and _plain(s) for s in own] for own in x.to_pylist()], pa.list_(pa.string()))
 
 
-def decomposed(x: Column) -> Column:
-    """Compatibility decomposition without combining accents; texts of ASCII don't leave the JVM's row."""
-    return F.when(x.rlike(r"[^\x00-\x7F]"), _decomposed(F.when(x.rlike(r"[^\x00-\x7F]"), x))).otherwise(x)
+def _not_ascii(x: Column) -> Column:
+    return F.octet_length(x) > F.char_length(x)
 
 
-def _straight(x: Column) -> Column:
-    """Straight quotes, plain dashes, single spaces."""
+def _curled(x: Column) -> Column:
+    """Straight quotes and plain dashes; texts of ASCII have no others."""
     x = F.regexp_replace(F.regexp_replace(x, r"[\u2018\u2019\u201B]", "'"), r"[\u201C\u201D]", '"')
-    return F.regexp_replace(F.regexp_replace(x, r"[\u2010-\u2015]", "-"), rf"{S}+", " ")
+    return F.regexp_replace(x, r"[\u2010-\u2015]", "-")
+
+
+def _spaced(x: Column, spaces: str = SPACES) -> Column:
+    """Single spaces; a single space is left as it is."""
+    return F.regexp_replace(x, rf"[{spaces.replace(' ', '')}][{spaces}]*| [{spaces}]+", " ")
+
+
+def _straight(x: Column) -> Column:
+    """Compatibility decomposition without combining accents, straight quotes, plain dashes, single spaces; texts of ASCII don't leave the JVM's row."""
+    return F.when(_not_ascii(x), _spaced(_curled(_decomposed(F.when(_not_ascii(x), x))))).otherwise(_spaced(x, r"\t-\r "))
 
 
 def _tight(x: Column) -> Column:
-    x = _straight(x)
     x = F.regexp_replace(x, r" +([,.;:!?])", "$1")
     x = F.regexp_replace(F.regexp_replace(x, r"([(/]) +", "$1"), r" +([)/])", "$1")
     return F.lower(trim(F.regexp_replace(x, r" *- *", "-")))
@@ -88,19 +96,19 @@ def _tight(x: Column) -> Column:
 
 def normalize_search_text(x: Column) -> Column:
     """For containment: plain letters, straight quotes and dashes, tight punctuation, brackets and hyphens."""
-    return _tight(decomposed(F.coalesce(x, F.lit(""))))
+    return _tight(_straight(F.coalesce(x, F.lit(""))))
 
 
 def normalize_search_texts(x: Column) -> Column:
     """:func:`normalize_search_text` of each text of an array; arrays of ASCII don't leave the JVM's row."""
     x = F.transform(x, lambda s: F.coalesce(s, F.lit("")))
-    other = F.exists(x, lambda s: s.rlike(r"[^\x00-\x7F]"))
-    return F.transform(F.when(other, _decomposed_each(F.when(other, x))).otherwise(x), _tight)
+    other = F.exists(x, _not_ascii)
+    return F.transform(F.when(other, _decomposed_each(F.when(other, x))).otherwise(x), lambda s: _tight(_spaced(_curled(s))))
 
 
 def normalize_judge_text(x: Column) -> Column:
     """As :func:`normalize_search_text` with punctuation left where it is."""
-    return F.lower(trim(_straight(decomposed(F.coalesce(x, F.lit(""))))))
+    return F.lower(trim(_straight(F.coalesce(x, F.lit("")))))
 
 
 def normalize_judge_title(x: Column) -> Column:

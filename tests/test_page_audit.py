@@ -56,3 +56,9 @@ def test_audits_write_and_deal_nothing(spark):
     assert df.count() == 50 and there() == before
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_white_space_of_all_kinds(spark):
+    rows = {"a\t\tb \n c d \x0b\f\r": "a b c d", "é  x　 y ﻿z": "e x y z", " - a  -  b ": "-a-b", "": ""}
+    got = spark.createDataFrame([(k,) for k in rows], "x string").select("x", normalize_search_text(F.col("x"))).collect()
+    assert dict(map(tuple, got)) == rows
